@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .lookalike import normalize_look_alikes
+from .mixture import mix_sources
 from .mojibake import repair_encoding
+from .pairs import flag_pairs
 from .split import split_oversized
+from .text_quality import text_types
 from .tokenizing import encode_corpus
 
 
@@ -48,5 +51,30 @@ def p6_ids(spark, folder):
     return encode_corpus(_table(spark, folder, "documents"))
 
 
+def p5_defects(spark, folder):
+    return flag_pairs(_table(spark, folder, "qa_comparison"))
+
+
+def p5_found(spark, folder):
+    return p5_defects(spark, folder).filter("defect IS NOT NULL")
+
+
+def p7_mix(spark, folder):
+    return mix_sources(_table(spark, folder, "documents"), _table(spark, folder, "mix_targets"))[0]
+
+
+def p7_shares(spark, folder):
+    return mix_sources(_table(spark, folder, "documents"), _table(spark, folder, "mix_targets"))[1]
+
+
+def p8_statistics(spark, folder):
+    return text_types(_table(spark, folder, "documents"), _table(spark, folder, "common_words"))
+
+
+def p8_found(spark, folder):
+    return p8_statistics(spark, folder).filter("kind <> 'prose'").select("doc_id", "kind")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_text, p4_found, p4_text, p6_ids)}
+    named = (p2_found, p2_pieces, p3_found, p3_text, p4_found, p4_text, p5_found, p5_defects, p6_ids, p7_mix, p7_shares, p8_found, p8_statistics)
+    return {f.__name__: f for f in named}
