@@ -11,6 +11,7 @@ from .lookalike import normalize_look_alikes
 from .mixture import mix_sources
 from .mojibake import repair_encoding
 from .pairs import flag_pairs
+from .scan_noise import clean_scans
 from .split import split_oversized
 from .text_quality import text_types
 from .tokenizing import encode_corpus
@@ -20,6 +21,16 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def p1_text(spark, folder):
+    return clean_scans(_table(spark, folder, "chunks"), _table(spark, folder, "collections"))
+
+
+def p1_found(spark, folder):
+    fields = ("section_h2", "content")
+    each = F.array(*[F.transform(F.col(f"{c}_noise"), lambda x, c=c: F.struct(F.lit(c).alias("field"), x.alias("noise"))) for c in fields])
+    return p1_text(spark, folder).select("row_id", F.inline(F.flatten(each)))
+
+
 def p2_pieces(spark, folder):
     return split_oversized(_table(spark, folder, "chunks"))
 
@@ -76,5 +87,5 @@ def p8_found(spark, folder):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (p2_found, p2_pieces, p3_found, p3_text, p4_found, p4_text, p5_found, p5_defects, p6_ids, p7_mix, p7_shares, p8_found, p8_statistics)
+    named = (p1_found, p1_text, p2_found, p2_pieces, p3_found, p3_text, p4_found, p4_text, p5_found, p5_defects, p6_ids, p7_mix, p7_shares, p8_found, p8_statistics)
     return {f.__name__: f for f in named}
