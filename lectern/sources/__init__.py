@@ -1 +1 @@
-
+"""Sources and sinks: explicit schemas, explicit paths."""

@@ -1 +1 @@
-
+"""Continuous ingestion over the same operators."""
