@@ -165,7 +165,8 @@ ISSUES = f"""(SELECT row_id, list_filter([
   CASE WHEN char_count < {config.ISSUE_SMALL} THEN 'too_small' WHEN char_count > {config.ISSUE_LARGE} THEN 'too_large' END,
   CASE WHEN has_code AND regexp_matches(content, '(?s)```.*?```') AND length(regexp_extract(content, '(?s)```.*?```')) < {config.EMPTY_CODE} THEN 'empty_code' END], lambda x: x IS NOT NULL) AS issues FROM chunks)"""
 STATUS = "CASE WHEN {0} < 5 THEN 'excellent' WHEN {0} < 15 THEN 'good' ELSE 'poor' END"
-SCORES = "(SELECT pair_id::BIGINT AS pair_id, " + ", ".join(f"CASE WHEN isnan({m}) THEN NULL ELSE {m} END AS {m}" for m in ("faithfulness", "context_precision", "answer_relevancy", "context_recall")) + " FROM eval_scores WHERE pair_id IS NOT NULL)"
+# isnan() is folded away there by column statistics that leave NaN out; the text of the number isn't
+SCORES = "(SELECT pair_id::BIGINT AS pair_id, " + ", ".join(f"nullif({m}::VARCHAR, 'nan')::DOUBLE AS {m}" for m in ("faithfulness", "context_precision", "answer_relevancy", "context_recall")) + " FROM eval_scores WHERE pair_id IS NOT NULL)"
 LONG = "(" + " UNION ALL ".join(f"SELECT pair_id, '{m}' AS metric, {m} AS score FROM {SCORES}" for m in ("faithfulness", "context_precision", "answer_relevancy", "context_recall")) + ")"
 VEC = "(SELECT vec_id, label, list_transform(embedding, lambda v: v::DOUBLE) AS v FROM embeddings)"
 SIMS = f"(SELECT a.vec_id AS query_id, b.vec_id, b.label, round(list_inner_product(a.v, b.v) / (sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(b.v, b.v))), 6) + 0.0 AS similarity FROM {VEC} a, {VEC} b WHERE a.vec_id % 20 = 0)"
@@ -249,7 +250,7 @@ def oracle_sql() -> dict[str, str]:
         "metric_means": f"SELECT metric, round(avg(score), 6) AS mean, count(score) AS judged, count(*) FILTER (score IS NULL) AS failed FROM {LONG} GROUP BY metric",
         "metric_failures": f"SELECT pair_id, metric FROM {LONG} WHERE score IS NULL",
         "metric_grade": f"WITH m AS (SELECT metric, round(avg(score), 6) AS s FROM {LONG} GROUP BY metric) SELECT metric, CASE WHEN s >= 0.85 THEN '优秀' WHEN s >= 0.7 THEN '良好' WHEN s >= 0.5 THEN '及格' ELSE '需改进' END AS grade, repeat('█', floor(s * 30)::INT) || repeat('░', 30 - floor(s * 30)::INT) AS bar, round_even(s, 3) AS shown, printf('%.4f', s) AS printed FROM m",
-        "metric_delta": f"WITH s AS (SELECT metric, run_name = 'baseline' AS base, score FROM {LONG} JOIN qa_comparison USING (pair_id) WHERE run_name IS NOT NULL), a AS (SELECT metric, avg(score) AS v FROM s WHERE NOT base GROUP BY 1), b AS (SELECT metric, avg(score) AS v FROM s WHERE base GROUP BY 1) SELECT metric, round(a.v, 6) AS ours, round(b.v, 6) AS baseline, round(a.v - b.v, 6) AS delta FROM a FULL JOIN b USING (metric)",
+        "metric_delta": f"WITH s AS (SELECT metric, run_name = 'baseline' AS base, score FROM {LONG} JOIN qa_comparison USING (pair_id) WHERE run_name IS NOT NULL), m AS (SELECT metric, avg(score) FILTER (NOT base) AS a, avg(score) FILTER (base) AS b FROM s GROUP BY 1) SELECT metric, round(a, 6) AS ours, round(b, 6) AS baseline, round(a - b, 6) AS delta FROM m",
         "chart_frame": "SELECT pair_id, CASE WHEN length(user_input) > 20 THEN substr(user_input, 1, 20) || '…' ELSE user_input END AS label FROM eval_scores",
         "lexical_overlap": f"WITH d AS (SELECT pair_id, answer, ground_truth, list_distinct(regexp_extract_all(answer, {q(TOKEN)})) AS a, list_distinct(regexp_extract_all(ground_truth, {q(TOKEN)})) AS t FROM qa_comparison) SELECT pair_id, CASE WHEN answer IS NOT NULL AND ground_truth IS NOT NULL THEN round(0.4::DOUBLE * CASE WHEN len(a) + len(t) > 0 THEN {jac} ELSE 0 END + 0.4::DOUBLE * CASE WHEN len(t) > 0 THEN len(list_intersect(a, t))::DOUBLE / len(t) ELSE 0 END + 0.2::DOUBLE * CASE WHEN greatest(length(answer), length(ground_truth)) > 0 THEN least(length(answer), length(ground_truth))::DOUBLE / greatest(length(answer), length(ground_truth)) ELSE 0 END, 6) END AS score FROM d",
         "knn_topk": knn(SIMS, k),
