@@ -122,6 +122,7 @@ def rules(counts: dict[str, int] | None = None) -> dict[str, str]:
 
 _CYRILLIC, _GREEK = "Ѐ-ԯ", "Ͱ-Ͽ"
 _WORD = re.compile(rf"[A-Za-zÀ-ɏɐ-ʯ{_CYRILLIC}{_GREEK}Ａ-Ｚａ-ｚ̀-ͯ{char_class(INVISIBLE)}]+")
+_MIXED = r"[A-Za-z][\u0430-\u044f]|[\u0430-\u044f][A-Za-z]"
 _FOREIGN = frozenset(x[0] for x in CROSS_SCRIPT)
 _TWINS = {x[1]: x[0] for x in reversed(CROSS_SCRIPT) if "Ѐ" <= x[0] <= "ԯ"}
 
@@ -136,8 +137,8 @@ class Normalizer:
             self.automaton.add_word(pattern, pattern)
         self.automaton.make_automaton()
         # decomposed letters are seen by their marks; everything else by its own code point
-        self.any = re.compile("[" + char_class("".join(p for p in rule if len(p) == 1)) + "̀-ͯ]")
-        self.other = re.compile(rf"[{char_class(''.join(_FOREIGN))}]")
+        self.any = re.compile("[" + char_class("".join(p for p in rule if len(p) == 1)) + rf"\u0300-\u036f]|{_MIXED}")
+        self.other = re.compile(rf"[{char_class(''.join(_FOREIGN))}]|{_MIXED}")
 
     def apply(self, text: str | None) -> tuple[str | None, int]:
         """The text in one form, and how many places were rewritten. Null and empty texts come back as they are."""

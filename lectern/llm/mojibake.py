@@ -31,6 +31,7 @@ UTF8_SEQUENCES = re.compile(r"(?:[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2
 #: ASCII bytes may be second halves of wrongly read characters, so a chain holds them, too.
 UTF8_CHAIN = re.compile(rb"[\x40-\x7e]?(?:(?:[\xe0-\xef][\x80-\xbf]{2}|[\xc2-\xdf][\x80-\xbf]|[\xf0-\xf4][\x80-\xbf]{3})+[\x40-\x7e]?)+")
 UTF8_ONE = re.compile(rb"[\xe0-\xef][\x80-\xbf]{2}|[\xc2-\xdf][\x80-\xbf]|[\xf0-\xf4][\x80-\xbf]{3}|[\x40-\x7e]")
+_ODD_CASE = re.compile("[а-я][А-Я]")
 HIGH_RUN = re.compile(r"[\x80-\xff]{2,}")
 #: Bytes EF BF BD of replacement characters, read as Chinese once more.
 LOST = re.compile("(?:锟斤拷|锟斤|斤拷锟|ï¿½)+")
@@ -39,7 +40,7 @@ LOST = re.compile("(?:锟斤拷|锟斤|斤拷锟|ï¿½)+")
 @functools.cache
 def suspicious() -> re.Pattern:
     """Any character that text decoded rightly doesn't hold; texts without one aren't looked at further."""
-    return re.compile("[^" + clean_class() + "]|锟斤")
+    return re.compile("[^" + clean_class() + "]|锟斤|[а-я][А-Я]")
 
 
 class _Costs(dict):
@@ -117,7 +118,9 @@ def _utf8_as_one_byte(text: str, encoding: str) -> list[Span]:
             new = m[0].encode("latin-1").decode("utf-8")
         except UnicodeDecodeError:
             continue
-        if cost(text[m.start() : m.end()]) - cost(new) > LEAST_DROP:
+        old = text[m.start() : m.end()]
+        # capital letters inside a Cyrillic word cost more than the letters show
+        if cost(old) + len(_ODD_CASE.findall(old)) - cost(new) > LEAST_DROP:
             found.append(Span(m.start(), m.end(), new, f"utf-8 as {encoding}"))
     return found
 
