@@ -142,29 +142,41 @@ def _end_codes(line: str) -> np.ndarray:
 
 def count_ends(texts: list[str | None], table: np.ndarray) -> None:
     """Add the n-grams that end at line ends (row 0) and those that end elsewhere (row 1); last lines only teach places before their ends."""
+    kinds: dict[int, tuple[list[str], list[bool]]] = {}
     for text in texts:
         if not text:
             continue
         lines = [x.rstrip() for x in _FENCE.sub("\n", _HEADING.sub("", text)).split("\n")]
         lines = [x for x in lines if x.strip()]
         for i, line in enumerate(lines):
-            codes, kind = _end_codes(line), line_kind(line)
-            for n in END_ORDERS:
-                at = buckets(ngrams(codes, n, 10 * kind + n), END_BITS)
-                if i < len(lines) - 1:
-                    np.add.at(table[0], at[-1:], 1)
-                np.add.at(table[1], at[:-1], 1)
+            held, ends = kinds.setdefault(line_kind(line), ([], []))
+            held.append(line)
+            ends.append(i < len(lines) - 1)
+    for kind, (held, ends) in kinds.items():
+        codes = _end_codes("\n".join(held))
+        last = np.cumsum([len(x) + 1 for x in held]) - 2
+        start = np.repeat(np.concatenate([[0], last[:-1] + 2]), [len(x) + 1 for x in held])[: codes.size]
+        place = np.arange(codes.size) - start
+        inner = np.ones(codes.size, bool)
+        inner[last] = False
+        inner[last[:-1] + 1] = False
+        for n in END_ORDERS:
+            at = buckets(ngrams(codes, n, 10 * kind + n), END_BITS)
+            whole = last[np.array(ends) & (place[last] >= n - 1)]
+            np.add.at(table[0], at[whole], 1)
+            np.add.at(table[1], at[inner & (place >= n - 1)], 1)
 
 
 class Ends:
     def __init__(self, table: np.ndarray):
         self.table = table
+        ends, other = (float(x) / len(END_ORDERS) for x in table.sum(axis=1))
+        self.base = float(np.log((ends + 1) / (other + 1)))
 
     def log_odds(self, line: str) -> float:
         """Log odds that a line is complete after its last characters; the longest n-gram seen often enough decides."""
         codes, kind = _end_codes(line), line_kind(line)
-        ends, other = float(self.table[0].sum()) / len(END_ORDERS) or 1.0, float(self.table[1].sum()) / len(END_ORDERS) or 1.0
-        odds = np.log((ends + 1) / (other + 1))
+        odds = self.base
         for n in END_ORDERS:
             if codes.size < n:
                 break
@@ -286,12 +298,15 @@ def train_languages(df: DataFrame, columns: tuple[str, ...]) -> np.ndarray:
     first = Languages(seed_counts())
 
     def count(cols, table):
+        found: dict[str, list[np.ndarray]] = {}
         for texts in cols:
             for t in texts:
                 if t:
                     said, sure = first.of(t)
                     if sure > 0.99:
-                        np.add.at(table[LANGUAGES.index(said)], _grams(t), 1)
+                        found.setdefault(said, []).append(_grams(t))
+        for said, grams in found.items():
+            np.add.at(table[LANGUAGES.index(said)], np.concatenate(grams), 1)
 
     learned = hashed_counts(df, columns, count, (len(LANGUAGES), 1 << LANGUAGE_BITS)).astype(np.float64)
     # a language that is rare in the table keeps its seed: what is learned is scaled to at most a hundred seeds
