@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .materialize import written
+from .materialize import gathered, written
 from .tokenizing import FOLDER, count_tokens
 
 STEPS = 40
@@ -76,7 +76,7 @@ def mix_sources(df: DataFrame, targets: DataFrame, key: str = "doc_id", text: st
     """
     spark = df.sparkSession
     clean = targets.filter("source IS NOT NULL").groupBy("source").agg(F.sum(F.coalesce("weight", F.lit(0.0))).alias("weight"), F.max(F.coalesce("max_repeats", F.lit(1))).alias("max_repeats"))
-    wants = {r["source"]: (r["weight"], r["max_repeats"]) for r in clean.collect()}
+    wants = {r["source"]: (r["weight"], r["max_repeats"]) for r in gathered(clean, "targets")}
     sized = token_sizes(df, clean, key, text, source, tokenizer, folder)
     have = {r["source"]: (r["documents"], r["tokens"]) for r in sized.groupBy("source").agg(F.count("*").alias("documents"), F.sum("tokens").alias("tokens")).collect()}
     live = {s: w for s, (w, cap) in wants.items() if s in have and w > 0 and cap > 0}

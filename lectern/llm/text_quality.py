@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from .batches import map_rows, schema
 from .charset import clean_class
 from .hashing import buckets, hashed_counts, ngrams, points
+from .materialize import gathered, written
 
 KINDS = ("prose", "list", "table", "junk")
 NGRAM, NGRAM_BITS = 3, 20
@@ -257,7 +258,7 @@ def text_types(df: DataFrame, words: DataFrame, key: str = "doc_id", text: str =
     which is small and collected. Null, empty and blank texts have zeros and a null kind. Repeated rows come out alike;
     an empty table gives an empty result. The pair counts and the vote patterns are taken over all rows.
     """
-    common = CommonWords(sorted(r[0] for r in words.select("word").dropna().distinct().collect()))
+    common = CommonWords(sorted(r[0] for r in gathered(words.select("word").dropna().distinct(), "words")))
     table = hashed_counts(df, (text,), count_ngrams, (1 << NGRAM_BITS,)).astype(np.int32)
     documents = int(df.filter(F.length(F.trim(F.col(f"`{text}`"))) > 0).count())
     spark = df.sparkSession
@@ -280,7 +281,7 @@ def text_types(df: DataFrame, words: DataFrame, key: str = "doc_id", text: str =
         return run
 
     measured = map_rows(df, [key, text], make, schema(f"k {kind}, word_count BIGINT, mean_word_length DOUBLE, symbol_share DOUBLE, punctuated_line_share DOUBLE, common_word_share DOUBLE, votes STRING"))
-    measured = kept(measured)
+    measured = written(measured)
     patterns = {tuple(map(int, r["votes"].split(","))): r["count"] for r in measured.filter("votes <> ''").groupBy("votes").count().collect()}
     prior, confusion = learn(patterns)
     said = spark.createDataFrame(_said(patterns, prior, confusion), "votes STRING, kind STRING, posterior DOUBLE")
@@ -295,10 +296,3 @@ def _said(patterns, prior, confusion) -> list[tuple[str, str, float]]:
         post = posterior(np.array([[v if v >= 0 else len(KINDS) for v in p]]), prior, confusion)[0]
         out.append((",".join(map(str, p)), KINDS[int(post.argmax())], float(post.max())))
     return out
-
-
-def kept(df: DataFrame) -> DataFrame:
-    """A table written once in the shared folder, so that later steps don't compute it again."""
-    from .materialize import written
-
-    return written(df)
