@@ -72,9 +72,7 @@ def search(chunks: DataFrame, queries: DataFrame, k: int = config.TOP_K, embedde
     if prefilter:
         with_vectors = with_vectors.filter(informative())
     asked = queries.select("query_id", "book_name", embed(F.col("query")).alias("embedding"))
-    near = vector.nearest(with_vectors, asked, candidates * config.OVERFETCH_VECTOR, "key", "embedding", "book_name")
-    scoped = queries.select("query_id", F.col("book_name").alias("wanted"))
-    near = near.join(scoped, "query_id").filter("wanted IS NULL OR wanted = book_name").drop("wanted")
+    near = vector.nearest(with_vectors, asked, candidates * config.OVERFETCH_VECTOR, "key", "embedding", "book_name", query_group="book_name")
     if not prefilter:
         near = near.join(held.select("key", "section_h2", "char_count"), "key").filter(informative())
     index = bm25.build(held, "book_name", "key", "content")

@@ -33,29 +33,24 @@ def flags(content: Column) -> tuple[Column, Column]:
 def merge_small(chunks: DataFrame, limit: int = config.MAX_CHUNK, least: int = config.MIN_CHUNK) -> DataFrame:
     """doc_id, ordinal and the chunk columns: chunks below the least size join the one before, or fall away.
 
-    chunks: doc_id, ordinal and the chunk columns. The state is one document's last chunk, so the fold runs over each
-    document; it crosses sections and chapters, and the headings of the earlier chunk stay.
+    chunks: doc_id, ordinal and the chunk columns. Each big chunk begins anew, so a document falls into runs of a big
+    chunk and the small ones after it; runs are folded each on their own, and no task ever holds a whole document.
+    Merging crosses sections and chapters, and the headings of the earlier chunk stay.
     """
     names = ["ordinal", *CHUNK.names]
-    packed = chunks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*names))).alias("items"))
-    kind = dict(packed.dtypes)["items"]
-    item = kind[len("array<") : -1]
-    start = F.struct(F.array().cast(kind).alias("done"), F.lit(None).cast(item).alias("cur"))
+    so_far = W.partitionBy("doc_id").orderBy("ordinal").rowsBetween(W.unboundedPreceding, 0)
+    runs = chunks.withColumn("run", F.sum((F.col("char_count") >= least).cast("int")).over(so_far)).filter("run > 0")
+    item = F.struct(*names)
+    packed = runs.groupBy("doc_id", "run").agg(F.min_by(item, "ordinal").alias("first"), F.array_sort(F.collect_list(F.when(F.col("char_count") < least, item))).alias("rest"))
+    kind = dict(packed.dtypes)["first"]
 
-    def joined(cur: Column, x: Column) -> Column:
+    def step(cur: Column, x: Column) -> Column:
         content = F.concat(cur["content"], F.lit("\n\n"), x["content"])
         new = {"content": content, "char_count": F.length(content), "has_code": cur["has_code"] | x["has_code"], "has_image": cur["has_image"] | x["has_image"]}
-        return F.struct(*[new.get(n, cur[n]).alias(n) for n in names])
+        joined = F.struct(*[new.get(n, cur[n]).alias(n) for n in names]).cast(kind)
+        return F.when(cur["char_count"] + x["char_count"] + config.JOIN_CHARS <= limit, joined).otherwise(cur)
 
-    def step(acc: Column, x: Column) -> Column:
-        big = x["char_count"] >= least
-        fits = acc["cur"].isNotNull() & (acc["cur"]["char_count"] + x["char_count"] + config.JOIN_CHARS <= limit)
-        done = F.when(big & acc["cur"].isNotNull(), F.array_append(acc["done"], acc["cur"])).otherwise(acc["done"])
-        cur = F.when(big, x).when(fits, joined(acc["cur"], x)).otherwise(acc["cur"])
-        return F.struct(done.cast(kind).alias("done"), cur.cast(item).alias("cur"))
-
-    folded = F.aggregate("items", start, step, lambda acc: F.when(acc["cur"].isNotNull(), F.array_append(acc["done"], acc["cur"])).otherwise(acc["done"]))
-    return packed.select("doc_id", F.inline(folded))
+    return packed.select("doc_id", F.aggregate("rest", F.col("first").cast(kind), step).alias("chunk")).select("doc_id", "chunk.*")
 
 
 def section_chunks(sections: DataFrame, limit: int = config.MAX_CHUNK) -> DataFrame:
