@@ -15,7 +15,7 @@ from .. import config
 from ..functions import markdown as M
 from ..functions import text as X
 from ..operators import bm25, hybrid, metrics, packing, plugins, quality, sections, vector
-from ..session import small, table
+from ..session import small, spread, table
 from ..sources import catalog, files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,11 +27,12 @@ def _spaced(c: Column) -> Column:
 
 
 def _chunks(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "chunks")
+    return spread(table(spark, folder, "chunks"))
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text", "source").filter("text IS NOT NULL")
+    rows = spread(table(spark, folder, "documents").select("doc_id", "text", "source"))
+    return rows.withColumn("doc_id", F.col("doc_id").cast("string")).filter("text IS NOT NULL")
 
 
 def asked(spark: SparkSession, folder: str) -> DataFrame:

@@ -25,6 +25,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan over all cores: a file of one row group is read by one task, so its rows are dealt out if tasks are fewer
+    than cores. Scans of large inputs have more and stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def small(df: DataFrame, rows: int = config.BROADCAST_ROWS) -> bool:
     """Whether a table is proven small enough to broadcast: it has at most so many rows. Reads no more than that."""
     return df.select().limit(rows + 1).count() <= rows
