@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread, table
 from .lookalike import normalize_look_alikes
 from .mixture import mix_sources
 from .mojibake import repair_encoding
@@ -17,8 +18,13 @@ from .text_quality import text_types
 from .tokenizing import encode_corpus
 
 
+#: Tables that grow; the others are lookups.
+GROWING = ("chunks", "documents", "qa_comparison")
+
+
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    rows = table(spark, folder, name)
+    return spread(rows) if name in GROWING else rows
 
 
 def p1_text(spark, folder):
