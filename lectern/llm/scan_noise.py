@@ -3,7 +3,7 @@
 Lines of headers and page numbers are told by their form and by the printed titles; the rest is one stream without line
 ends. Words are decoded in it as by a noisy channel: hyphens may vanish, one or two characters may stand for another,
 and the cheapest reading under the corpus's own n-gram counts wins against the price of its edits. Where paragraphs
-begin is chosen by dynamic programming over the line ends.
+begin is chosen over all line ends outside code, whether other noise was found or not.
 """
 
 from __future__ import annotations
@@ -86,7 +86,9 @@ CHAPTER = re.compile(r"^(?:第\s*[0-9０-９一二三四五六七八九十]{1,4}
 _LIST = re.compile(r"^\s*(?:[-*•+]\s+(?!\d+\s*-\s*$)|\d+[.)、]\s|[(（]?[a-zA-Z\d][)）]\s)")
 _CAPTION = re.compile(r"^\s*(?:图|表|Figure|Table|Fig\.?|Listing|清单|代码)\s*[0-9０-９]")
 _STOP = re.compile("[。！？；]")
-_TERMINAL = re.compile(r"[。！？.!?；;：:”’」』）)\"]\s*$")
+_TERMINAL = re.compile(rf"[。！？.!?；;：:”’」』）)\"][\s{_INVISIBLE}]*$")
+#: The longest line of a printed page; a longer one is a paragraph that was never wrapped.
+PRINTED = 120
 
 
 class Noise(NamedTuple):
@@ -317,44 +319,49 @@ class Decoder:
 # -- paragraphs -----------------------------------------------------------------------------------------------------
 
 
-def paragraphs(lines: list[str], cut: list[bool]) -> str:
-    """Join lines into paragraphs; cut[i] tells that something was taken out before line i.
+def paragraphs(lines: list[str], cut: list[bool], wrapped: list[bool] | None = None) -> str:
+    """Join lines into paragraphs; cut[i] tells that something was taken out before line i, wrapped[i] whether the line
+    end before it may be one of a wrapped line (all may if not given).
 
-    Each line end is a break or not; both have a price from the end of the line, the beginning of the next and the
-    length of the paragraph so far, and the cheapest series is found by dynamic programming.
+    Each line end is a break or not; both have a price from the line before it and the beginning of the next. Prices
+    add up and none depends on what is chosen elsewhere, so the cheaper choice at each line end gives the cheapest
+    series, however many lines a paragraph has.
     """
     if not lines:
         return ""
-    fixed = [bool(_LIST.match(x) or _CAPTION.match(x) or x.lstrip().startswith(("<", ">", "|", "#", "$")) or not x.strip()) for x in lines]
-    # best[j]: the lowest price of lines[:j] with a break before line j, and where that paragraph began
-    best: list[tuple[float, int]] = [(0.0, 0)]
-    for j in range(1, len(lines) + 1):
-        price, start = best[j - 1][0], j - 1
-        joined = 0.0
-        for i in range(j - 2, max(-1, j - 400), -1):
-            joined += _join_price(lines[i], lines[i + 1], cut[i + 1], fixed[i] or fixed[i + 1])
-            if joined > 60:
-                break
-            if best[i][0] + joined < price:
-                price, start = best[i][0] + joined, i
-        best.append((price + (_break_price(lines[j - 1], lines[j], cut[j], fixed[j - 1] or fixed[j]) if j < len(lines) else 0.0), start))
-    out, j = [], len(lines)
-    while j > 0:
-        i = best[j][1]
-        text = lines[i].rstrip("\r") if j - i > 1 else lines[i]
-        for k in range(i + 1, j):
-            nxt = lines[k].lstrip()
-            text = text.rstrip()
-            text += ("" if not text or not nxt or ord(text[-1]) > 0x2E7F or ord(nxt[0]) > 0x2E7F else " ") + nxt
-        out.append(text)
-        j = i
-    return "\n".join(out[::-1])
-
-
-def _break_price(a: str, b: str, cut: bool, fixed: bool) -> float:
+    out, parts = [], [lines[0]]
+    for i in range(1, len(lines)):
+        a, b = lines[i - 1], lines[i]
+        if _joins(a, b, cut[i], cut[i - 1]) and (cut[i] or wrapped is None or wrapped[i]):
+            parts[-1], b = parts[-1].rstrip(), b.lstrip()
+            parts.append(b if _wide(parts[-1][-1]) or _wide(b[0]) else f" {b}")
+        else:
+            out.append("".join(parts))
+            parts = [b]
+    out.append("".join(parts))
+    return "\n".join(out)
+
+
+def _wide(c: str) -> bool:
+    """Whether no space stands beside a character: Han ones and their marks, but not the wide forms of Latin letters."""
+    plain = unicodedata.normalize("NFKC", c)
+    return ord(c) > 0x2E7F and not (plain.isascii() and plain.isalnum())
+
+
+def _fixed(line: str) -> bool:
+    return bool(_LIST.match(line) or _CAPTION.match(line) or line.lstrip().startswith(("<", ">", "|", "#", "$")) or not line.strip())
+
+
+def _joins(a: str, b: str, cut: bool, torn: bool) -> bool:
+    """Whether no break between two lines is cheaper than one; torn: something was taken out before line a as well."""
+    fixed = _fixed(a) or _fixed(b)
+    return _join_price(a, b, cut, fixed) < _break_price(a, cut, torn, fixed)
+
+
+def _break_price(a: str, cut: bool, torn: bool, fixed: bool) -> float:
     if fixed:
         return 0.0
-    return 0.0 if _TERMINAL.search(a) or not cut and len(a) < 12 else 6.0 if cut else 3.0
+    return 0.0 if _TERMINAL.search(a) or not cut and not torn and len(a) < 12 else 6.0 if cut else 3.0
 
 
 def _join_price(a: str, b: str, cut: bool, fixed: bool) -> float:
@@ -425,9 +432,8 @@ def clean_field(text: str | None, places: list[int], label: str, chapter: str, d
         kinds |= found
         if found:
             text, places, masked = new, decoder.suspects([new])[0], Mask(new)
-        cut = False
     else:
-        lines, at, dropped = [], 0, []
+        lines, at, gone = [], 0, set()
         for line in text.split("\n"):
             kind = None
             if len(line) <= 90 and line.strip():
@@ -439,14 +445,15 @@ def clean_field(text: str | None, places: list[int], label: str, chapter: str, d
                 kind = None
             if kind:
                 kinds.add(kind)
-                dropped.append(at)
-            lines.append((line, kind))
+                gone.add(len(lines))
+            else:
+                lines.append(line)
             at += len(line) + 1
-        cut = bool(dropped)
-        if cut:
-            text = "\n".join(x for x, kind in lines if not kind)
+        if gone:
+            text = "\n".join(lines)
             places, masked = decoder.suspects([text])[0], Mask(text)
     broken = [m for m in BROKEN.finditer(text) if _is_break(text, m, decoder) and m.start() not in masked] if "\n" in text else []
+    ends = [] if heading else _line_ends(text, gone, broken)
     if broken:
         kinds.add("hyphen")
         edits = []
@@ -462,35 +469,48 @@ def clean_field(text: str | None, places: list[int], label: str, chapter: str, d
         text = _apply(text, edits)
     if heading:
         text = re.sub(r"\s*\n\s*", " ", text)
-    elif kinds:
-        text = _joined(text, lines if cut else [])
+    elif len(ends) > 1:
+        text = _joined(text, ends)
     return Noise(tuple(k for k in NOISES if k in kinds), text)
 
 
-def _joined(text: str, lines: list) -> str:
-    """Paragraphs of the text outside code, each stretch by itself; places where lines were taken out may join."""
-    if not lines:
-        return text
-    gone, n = set(), 0
-    for _, kind in lines:
-        if kind:
-            gone.add(n)
-        else:
-            n += 1
-    out, part, cut, fenced, number = [], [], [], False, 0
-    for line in text.split("\n"):
+def _line_ends(text: str, gone: set[int], broken: list[re.Match]) -> list[tuple[bool, bool]]:
+    """For each line that begins after the words broken over a line end are joined: whether lines were taken out before
+    it, and whether the printed lines on both sides are short enough to be wrapped ones.
+
+    gone: the lines of the text before which others were taken out.
+    """
+    lines, inside = text.split("\n"), {i for m in broken for i in range(m.start(), m.end())}
+    out, at = [(0 in gone, False)], 0
+    for n in range(1, len(lines)):
+        at += len(lines[n - 1]) + 1
+        if at - 1 not in inside:
+            out.append((n in gone, max(len(lines[n - 1]), len(lines[n])) <= PRINTED))
+    return out
+
+
+def _joined(text: str, ends: list[tuple[bool, bool]]) -> str:
+    """Paragraphs of the text outside code, each stretch by itself; ends as _line_ends gives them.
+
+    A line end beside a garbled sequence stays, as the mark that would tell a paragraph's end can't be read there.
+    """
+    out, part, cut, wrapped, fenced, at, masked = [], [], [], [], False, 0, Mask(text)
+    for line, (taken, short) in zip(text.split("\n"), ends, strict=True):
         if line.lstrip().startswith("```") or fenced:
             if part:
-                out.append(paragraphs(part, cut))
-                part, cut = [], []
+                out.append(paragraphs(part, cut, wrapped))
+                part, cut, wrapped = [], [], []
             out.append(line)
             fenced ^= line.lstrip().startswith("```")
         else:
+            if short and not taken and part and _joins(part[-1], line, False, cut[-1]):
+                short = not any(i in masked for i in range(max(0, at - 4), at + 3))
             part.append(line)
-            cut.append(number in gone)
-        number += 1
+            cut.append(taken)
+            wrapped.append(short)
+        at += len(line) + 1
     if part:
-        out.append(paragraphs(part, cut))
+        out.append(paragraphs(part, cut, wrapped))
     return "\n".join(out)
 
 

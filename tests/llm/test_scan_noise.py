@@ -85,6 +85,36 @@ def test_paragraphs():
     assert S.paragraphs([], []) == ""
 
 
+WRAPPED = "It doesn't matter whether the synchronization checks the\ndiagnostic messages or not, which makes independent development\n{}ible.\nThe fairness is determined by the\nexecution order."
+WHOLE = "It doesn't matter whether the synchronization checks the diagnostic messages or not, which makes independent development possible.\nThe fairness is determined by the execution order."
+
+
+@pytest.mark.parametrize(("part", "kinds"), [("poss", ()), ("poss-\n  ", ("hyphen",)), ("poss-\n12\n", ("hyphen", "page_number"))])
+def test_wrapped_lines_join_without_a_cut(decoder, part, kinds):
+    r = clean(decoder, WRAPPED.format(part))
+    assert r.kinds == kinds and r.text == WHOLE
+
+
+def test_spaces_at_joined_lines(decoder):
+    assert clean(decoder, "is left to the\nａｐｐｌｉｃａｔｉｏｎ, that is\n，因为\nTCP").text == "is left to the ａｐｐｌｉｃａｔｉｏｎ, that is，因为\nTCP"
+    assert clean(decoder, "the resources of A\n12\nquery\noptimization").text == "the resources of A query optimization"
+
+
+def test_cuts_are_numbered_after_hyphens(decoder):
+    r = clean(decoder, f"the mes-\nsage remains.\n系统中的时间片由调\n12\n度程序分配。\n第一段\n{CLEAN}")
+    assert r.text == f"the message remains.\n系统中的时间片由调度程序分配。\n第一段\n{CLEAN}"
+
+
+def test_long_paragraphs_join_whole():
+    lines = ["Whether it Holds"] * 1000
+    assert S.paragraphs(lines, [False] * 1000) == " ".join(lines)
+
+
+@pytest.mark.parametrize("text", ["```\nthe message remains in\nthe queue\n```", CLEAN + "\u200c\n" + CLEAN, "æŒ‰ç…§å®šä¹‰ï¼Œæˆ‘ä»¬æŠŠã€‚\næŒ‰ç…§å®šä¹‰ï¼Œæˆ‘ä»¬æŠŠã€‚", "段" * 121 + "\n" + CLEAN, "- the message remains\n- in the queue"])
+def test_line_ends_that_stay(decoder, text):
+    assert clean(decoder, text).text == text
+
+
 def test_table(spark):
     rows = [(i, CLEAN, "3.1 进程", "os", "第3章 进程管理", "extra") for i in range(400)]
     rows += [(900, "系统中的吋间片由调度程序\n12\n分配，" + CLEAN, None, None, None, "x"), (901, None, "", "os", None, "x"), (902, "", "操作系统 | 3.1 进程", "os", None, "x"), (903, "系统中的吋间片由调度程序\n12\n分配，" + CLEAN, None, None, None, "x"), (904, CLEAN * 3000, None, "os", None, "x")]
