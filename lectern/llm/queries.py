@@ -33,7 +33,9 @@ def p1_text(spark, folder):
 
 def p1_found(spark, folder):
     fields = ("section_h2", "content")
-    each = F.array(*[F.transform(F.col(f"{c}_noise"), lambda x, c=c: F.struct(F.lit(c).alias("field"), x.alias("noise"))) for c in fields])
+    # a second parameter of the function would get the place in the array
+    named = [F.transform(F.col(f"{c}_noise"), lambda x: F.struct(F.lit(c).alias("field"), x.alias("noise"))) for c in fields]  # noqa: B023
+    each = F.array(*named)
     return p1_text(spark, folder).select("row_id", F.inline(F.flatten(each)))
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import map_rows, schema
-from .hashing import buckets, hashed_counts, mix, ngrams, points
+from .hashing import buckets, distinct_texts, hashed_counts, mix, ngrams, points
 from .materialize import gathered
 from .mojibake import garbled_spans
 
@@ -536,10 +536,13 @@ def clean_scans(df: DataFrame, titles: DataFrame, key: str = "row_id", content:
     titles: book_name and label, the printed title; one row a book, collected. Noise columns are arrays of kinds. Null
     fields stay null, empty ones empty, without noise; unknown books and chapters only leave out what needs them.
     Repeated rows come out alike; an empty table gives an empty result. The n-gram and word counts are taken over all
-    rows, in a table of fixed size.
+    rows, in a table of fixed size. Each distinct content counts once and each heading once for each distinct content
+    under it, so that copies don't vote for their own misreadings; a heading that is misread alike over many different
+    contents still does.
     """
     labels = {r[0]: canon(r[1] or "") for r in gathered(titles.select("book_name", "label"), "titles") if r[0]}
-    counts = hashed_counts(df, (content, heading), count_corpus, ((1 << BITS) + (1 << WORD_BITS),)).astype(np.int32)
+    texts = distinct_texts(df, content).union(distinct_texts(df, heading, beside=content))
+    counts = hashed_counts(texts, ("text",), count_corpus, ((1 << BITS) + (1 << WORD_BITS),)).astype(np.int32)
     shared = df.sparkSession.sparkContext.broadcast(counts)
     kind = dict(df.select(F.col(f"`{key}`").alias("k")).dtypes)["k"]
 

@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from lectern.llm import queries as Q
 from lectern.llm import scan_noise as S
 
 CLEAN = "系统中的时间片由调度程序分配，数据结构保存存储器的地址。线程与进程的数据在存储器中。"
@@ -128,3 +129,17 @@ def test_table(spark):
     assert got[902]["section_h2"] == "3.1 进程" and got[902]["section_h2_noise"] == ["header"]
     assert got[904]["content_noise"] == []
     assert S.clean_scans(df.filter("false"), titles.filter("false")).count() == 0
+
+
+def test_copies_dont_vote(spark):
+    wrong = "系统中的吋间片由调度程序分配，the rnessage remains in the queue." + CLEAN
+    rows = [(i, f"第{i}次。{CLEAN}{ENGLISH}", f"{i} 进程") for i in range(60)] + [(1000 + i, wrong, f"{i} 线程") for i in range(300)]
+    df = spark.createDataFrame(rows, "row_id BIGINT, content STRING, section_h2 STRING").selectExpr("*", "string(null) AS book_name", "string(null) AS chapter")
+    got = S.clean_scans(df, spark.createDataFrame([], "book_name STRING, label STRING")).filter("row_id >= 1000")
+    assert got.groupBy("content_noise", "content").count().collect() == [(["misread"], wrong.replace("吋", "时").replace("rnessage", "message"), 300)]
+
+
+def test_found_names_the_field(spark, folder):
+    got = Q.p1_found(spark, folder)
+    assert dict(got.dtypes) == {"row_id": "bigint", "field": "string", "noise": "string"}
+    assert {r["field"] for r in got.collect()} == {"content", "section_h2"}
