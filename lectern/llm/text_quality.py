@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .batches import map_rows, schema
 from .charset import clean_class
-from .hashing import buckets, hashed_counts, ngrams, points
+from .hashing import buckets, distinct_texts, hashed_counts, ngrams, points
 from .materialize import gathered, written
 
 KINDS = ("prose", "list", "table", "junk")
@@ -221,9 +221,11 @@ def _codes(text: str) -> np.ndarray:
 
 
 def count_ngrams(cols: list[list], table: np.ndarray) -> None:
+    """Trigrams of characters, and in the last cell the texts that aren't blank."""
     codes = _codes("\n".join(t for t in cols[0] if t))
     if codes.size:
-        table += np.bincount(buckets(ngrams(codes, NGRAM), NGRAM_BITS), minlength=table.size)
+        table[:-1] += np.bincount(buckets(ngrams(codes, NGRAM), NGRAM_BITS), minlength=table.size - 1)
+    table[-1] += sum(1 for t in cols[0] if t and not t.isspace())
 
 
 class Fluency:
@@ -256,11 +258,13 @@ def text_types(df: DataFrame, words: DataFrame, key: str = "doc_id", text: str =
 
     A word is a Han character, a run of other letters or a number; words: the table of common words (column word),
     which is small and collected. Null, empty and blank texts have zeros and a null kind. Repeated rows come out alike;
-    an empty table gives an empty result. The pair counts and the vote patterns are taken over all rows.
+    an empty table gives an empty result. The vote patterns are taken over all rows, the n-gram
+    counts and the number of documents they are held against over distinct texts, so that copies of junk don't make it
+    fluent.
     """
     common = CommonWords(sorted(r[0] for r in gathered(words.select("word").dropna().distinct(), "words")))
-    table = hashed_counts(df, (text,), count_ngrams, (1 << NGRAM_BITS,)).astype(np.int32)
-    documents = int(df.filter(F.length(F.trim(F.col(f"`{text}`"))) > 0).count())
+    counts = hashed_counts(distinct_texts(df, text), ("text",), count_ngrams, ((1 << NGRAM_BITS) + 1,))
+    table, documents = counts[:-1].astype(np.int32), int(counts[-1])
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(table)
     kind = dict(df.select(F.col(f"`{key}`").alias("k")).dtypes)["k"]

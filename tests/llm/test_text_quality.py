@@ -65,3 +65,15 @@ def test_table(spark):
     assert said[9001] is said[9002] is said[9003] is None and said[9004] == "prose"
     empty = T.text_types(df.filter("false"), words)
     assert empty.count() == 0 and empty.columns == ["doc_id", "word_count", "mean_word_length", "symbol_share", "punctuated_line_share", "common_word_share", "kind", "posterior"]
+
+
+def test_copies_of_junk_stay_junk(spark):
+    rng = random.Random(5)
+    words = ["进程", "线程", "页表", "死锁", "缓冲区", "信号量", "管程", "中断"]
+    docs = ["".join(f"{rng.choice(words)}是{rng.choice(words)}的基础，因为它管理{rng.choice(words)}。" for _ in range(8)) for _ in range(900)]
+    # random letters in the form of words: no other function votes for junk
+    junk = "\n".join(" ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(6)) for _ in range(9)) for _ in range(6))
+    rows = list(enumerate(docs + [junk] * 450))
+    df = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
+    got = T.text_types(df, spark.createDataFrame([("的",), ("是",)], "word STRING")).groupBy("kind").count().collect()
+    assert {r["kind"]: r["count"] for r in got} == {"prose": len(docs), "junk": 450}
