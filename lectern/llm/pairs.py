@@ -258,6 +258,11 @@ def is_copy(question: str | None, answer: str) -> bool:
 
 
 def is_refusal(question: str | None, answer: str) -> bool:
+    """Whether one of the first two sentences has a phrase of refusal.
+
+    Only in answers of at most five sentences and 150 characters, or 400 with Latin words and without Han characters,
+    headings, code and quotations left out; a refusal in a longer answer, or later in one, isn't told.
+    """
     text = _QUOTED.sub("", _FENCE.sub("", _HEADING.sub("", answer))).strip()
     if len(text) > (400 if re.search(r"[a-z]{3}", text) and not re.search("[一-鿿]", text) else 150):
         return False
