@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import config
-from ..functions.text import fixed
+from ..functions.text import fixed, preview
 from . import bm25, vector
 from .plugins import Embedder, Reranker, code_point_embedding, extractive_answer
 
@@ -133,3 +133,31 @@ def ask(chunks: DataFrame, queries: DataFrame, k: int = config.TOP_K, limit: int
     out = out.withColumn("context", F.coalesce("context", F.lit(""))).withColumn("prompt", prompt(F.col("query"), F.col("context")))
     out = out.withColumn("response", extractive_answer(F.col("prompt"), F.col("context")))
     return out.select("query_id", "query", F.coalesce("hits", F.lit(0)).alias("hits"), "context", "prompt", F.col("response.answer").alias("answer"), F.col("response.success").alias("success"))
+
+
+def answer(chunks: DataFrame, queries: DataFrame, k: int = config.TOP_K, **how) -> DataFrame:
+    """The older name of ask() without a model: hits, context and prompt; the answer is null and success false."""
+    out = ask(chunks, queries, k, **how)
+    return out.withColumn("answer", F.lit(None).cast("string")).withColumn("success", F.lit(False))
+
+
+def successful(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The answers that succeeded, and those kept aside; a null success is none."""
+    ok = F.coalesce(F.col("success"), F.lit(False))
+    return answers.filter(ok), answers.filter(~ok)
+
+
+def display(hits: DataFrame) -> DataFrame:
+    """query_id, place, similarity, method, book_name, section, preview, flags: hits as they are shown.
+
+    hits: the columns of search and chapter, section_h2, content, has_code, has_image. Missing texts are shown empty.
+    """
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    flags = F.concat_ws(" | ", F.when(F.col("has_code"), F.lit("💻 含代码")), F.when(F.col("has_image"), F.lit("🖼️ 含图片")))
+    return hits.select("query_id", "place", fixed(F.col("similarity"), 4).alias("similarity"), "method", "book_name", F.concat(text("chapter"), F.lit(" | "), text("section_h2")).alias("section"), preview(text("content"), 150).alias("preview"), flags.alias("flags"))
+
+
+def top_sources(hits: DataFrame, n: int = 3) -> DataFrame:
+    """The first n hits of each query."""
+    first = W.partitionBy("query_id").orderBy("place", F.desc("final_score"), "book_name", "key")
+    return hits.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= n).drop("_n")

@@ -114,6 +114,23 @@ def test_ask(chunks, questions):
     assert got[3]["hits"] == 0 and not got[3]["success"]
 
 
+def test_answers_kept_aside(spark, chunks, questions):
+    rows = spark.createDataFrame([(1, True), (2, False), (3, None)], "query_id INT, success BOOLEAN")
+    kept, aside = hybrid.successful(rows)
+    assert [r["query_id"] for r in kept.collect()] == [1] and sorted(r["query_id"] for r in aside.collect()) == [2, 3]
+    plain = hybrid.answer(chunks, questions, k=3).collect()
+    assert len(plain) == questions.count() and all(r["answer"] is None and r["success"] is False and r["prompt"] for r in plain)
+
+
+def test_display_and_sources(spark):
+    rows = [(1, i, 0.98765, 1.0 - i / 10, "bm25", "os", f"k{i}", "C", None, "x" * (148 + i), i == 1, i < 3) for i in range(1, 6)]
+    hits = spark.createDataFrame(rows, "query_id INT, place INT, similarity DOUBLE, final_score DOUBLE, method STRING, book_name STRING, key STRING, chapter STRING, section_h2 STRING, content STRING, has_code BOOLEAN, has_image BOOLEAN")
+    got = {r["place"]: r for r in hybrid.display(hits).collect()}
+    assert got[1]["similarity"] == "0.9877" and got[1]["section"] == "C | " and got[1]["flags"] == "💻 含代码 | 🖼️ 含图片" and got[3]["flags"] == ""
+    assert got[2]["preview"] == "x" * 150 and got[3]["preview"] == "x" * 150 + "..."
+    assert sorted(r["place"] for r in hybrid.top_sources(hits).collect()) == [1, 2, 3]
+
+
 def test_generate_retries(spark):
     df = spark.createDataFrame([("ok",), ("bad",)], "prompt STRING")
 
