@@ -1,4 +1,11 @@
-"""Hashed n-gram counts over whole corpora: tables of a fixed number of buckets, whatever the corpus holds."""
+"""Hashed counts over whole corpora: tables of a fixed number of cells, whatever the corpus holds.
+
+Such a table has ROWS rows of cells; each item adds to one cell in each row, and the least of its cells is its count. In
+a row of w cells, an item's cell holds more than twice the mean load of others with a chance below one half, so a count
+is too high by more than 2 / w of all counts with a chance of at most 1 / 2 ** ROWS, at every size of the corpus.
+What a typical cell of a full table holds by chance, its median, is taken off. Counts are 64-bit whole numbers, in
+parts of UNIT, so that sums don't depend on the order of tasks; for look-ups they are floats, which can't wrap.
+"""
 
 from __future__ import annotations
 
@@ -6,10 +13,14 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
+_OTHER = np.uint64(0xD6E8FEB86659FD93)
+ROWS = 2
+#: One text counts so many units, shared among its copies; divisible by 1 to 10.
+UNIT = 5040
 
 
 def points(text: str) -> np.ndarray:
@@ -22,7 +33,9 @@ def mix(h: np.ndarray, more: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def buckets(h: np.ndarray, bits: int) -> np.ndarray:
+def buckets(h: np.ndarray, bits: int, row: int = 0) -> np.ndarray:
+    if row:
+        h = (h ^ (h >> np.uint64(32))) * _OTHER
     return (h >> np.uint64(64 - bits)).astype(np.int64)
 
 
@@ -30,43 +43,79 @@ def ngrams(codes: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
     """The hash of the n-gram that ends at each place; the first n - 1 places hold shorter ones."""
     h = np.full(codes.size, seed + 1, np.uint64)
     for back in range(n - 1, -1, -1):
-        part = np.zeros(codes.size, np.uint32)
+        part = np.zeros(codes.size, np.uint64)
         part[back:] = codes[: codes.size - back]
         h = mix(h, part)
     return h
 
 
-def distinct_texts(df: DataFrame, column: str, beside: str | None = None) -> DataFrame:
-    """The texts of a column (as column text), each once, or once for each distinct text of another column beside it;
-    nulls and empty ones left out.
+def add(table: np.ndarray, h: np.ndarray, bits: int, weight: np.ndarray | int = 1) -> None:
+    """Count items in a flat table of ROWS << bits cells."""
+    for row in range(ROWS):
+        np.add.at(table, buckets(h, bits, row) + (row << bits), weight)
 
-    Copies go within each task before the texts are exchanged, so a text that fills a third of all rows is no skew.
-    """
-    picked = [F.col(f"`{column}`").alias("text")] + ([F.xxhash64(F.col(f"`{beside}`")).alias("_beside")] if beside else [])
-    return df.select(*picked).filter("text <> ''").distinct().select("text")
+
+class Counts:
+    """Look-ups in a table that add() filled."""
+
+    def __init__(self, table: np.ndarray, bits: int, unit: int = 1):
+        self.bits = bits
+        rows = table.reshape(ROWS, 1 << bits)
+        floor = np.median(rows, axis=1, keepdims=True)
+        self.table = (np.maximum(rows - floor, 0) / unit).astype(np.float32)
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        return np.minimum(self.table[0][buckets(h, self.bits, 0)], self.table[1][buckets(h, self.bits, 1)])
+
+
+def keys(*columns: str) -> list[Column]:
+    """Two hashes of a text (or of one beside others), by which its copies are counted."""
+    one = F.xxhash64(*[F.col(f"`{c}`") for c in columns])
+    return [one, F.xxhash64(one, F.lit(1))]
+
+
+#: Cells for the counts of copies.
+COPY_BITS = 22
+
+
+def copies(df: DataFrame, *hashed: list[Column]) -> Counts:
+    """How often each text occurs, by the hashes that keys() gives. Only hashes are exchanged, never the texts."""
+    cells = [F.shiftrightunsigned(h, 64 - COPY_BITS) + (row << COPY_BITS) for pair in hashed for row, h in enumerate(pair)]
+    rows = df.select(F.explode(F.array(*cells)).alias("cell")).groupBy("cell").agg(F.count("*").alias("n")).toArrow()
+    table = np.zeros(ROWS << COPY_BITS, np.int64)
+    table[rows["cell"].to_numpy()] = rows["n"].to_numpy()
+    return Counts(table, COPY_BITS)
+
+
+def shares(counts: Counts, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """The units of each text: UNIT over its number of copies."""
+    at = [(h.view(np.uint64) >> np.uint64(64 - counts.bits)).astype(np.int64) for h in (one, two)]
+    n = np.minimum(counts.table[0][at[0]], counts.table[1][at[1]])
+    return np.maximum(1, UNIT // np.maximum(n, 1).astype(np.int64))
 
 
-def hashed_counts(df: DataFrame, columns: tuple[str, ...], count: Callable[[list[list], np.ndarray], None], shape: tuple[int, ...]) -> np.ndarray:
+def hashed_counts(df: DataFrame, columns: tuple[str | Column, ...], count: Callable[[list, np.ndarray], None], shape: tuple[int, ...], rows: int = 1000) -> np.ndarray:
     """A table of counts that count() adds up over all rows.
 
-    count: gets the column lists of a batch and the task's table, and adds to the table. Each task sends the cells it
-    filled, once; what comes back has at most as many cells as the table, which is the bound of every later broadcast.
+    count: gets the columns of a batch (lists; numbers as arrays) and the task's table, and adds to the table. Each task
+    sends the cells it filled, once; what comes back has at most as many cells as the table, which is the bound of every
+    later broadcast.
     """
     size = int(np.prod(shape))
 
     def run(batches):
         table = np.zeros(shape, np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                count([c.to_pylist() for c in batch.slice(at, 1000).columns], table)
+            for at in range(0, batch.num_rows, rows):
+                count([c.to_numpy(zero_copy_only=False) if pa.types.is_integer(c.type) else c.to_pylist() for c in batch.slice(at, rows).columns], table)
         flat = table.reshape(-1)
         filled = np.nonzero(flat)[0]
         for at in range(0, filled.size, 1 << 18):
             part = filled[at : at + (1 << 18)]
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(flat[part])], names=["cell", "n"])
 
-    picked = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)])
-    rows = picked.mapInArrow(run, "cell INT, n BIGINT").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    picked = df.select(*[(F.col(f"`{c}`") if isinstance(c, str) else c).alias(f"c{i}") for i, c in enumerate(columns)])
+    found = picked.mapInArrow(run, "cell INT, n BIGINT").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(size, np.int64)
-    out[rows["cell"].to_numpy()] = rows["n"].to_numpy()
+    out[found["cell"].to_numpy()] = found["n"].to_numpy()
     return out.reshape(shape)

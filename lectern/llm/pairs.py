@@ -340,7 +340,7 @@ def flag_pairs(df: DataFrame, key: str = "pair_id", question: str = "question",
     languages = train_languages(df, tuple(texts))
     ends = train_ends(df, (answer, *([truth] if truth else [])))
     spark = df.sparkSession
-    shared = spark.sparkContext.broadcast((languages.astype(np.float32), ends.astype(np.int32)))
+    shared = spark.sparkContext.broadcast((languages.astype(np.float32), ends))
     kind = dict(df.select(F.col(f"`{key}`").alias("k")).dtypes)["k"]
 
     def make():

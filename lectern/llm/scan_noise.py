@@ -1,9 +1,9 @@
 """Noise of scanned pages: hyphenated words, misread characters, running headers, page numbers.
 
-Lines of headers and page numbers are told by their form and by the printed titles; the rest is one stream without line
-ends. Words are decoded in it as by a noisy channel: hyphens may vanish, one or two characters may stand for another,
-and the cheapest reading under the corpus's own n-gram counts wins against the price of its edits. Where paragraphs
-begin is chosen over all line ends outside code, whether other noise was found or not.
+Lines of headers and page numbers are told by their form and by the printed titles. The rest is one stream without line
+ends, whose words are decoded jointly (see decoding.py), under counts and confusions of the corpus itself (language.py,
+confusions.py). Where paragraphs begin is chosen by dynamic programming over all line ends outside code, whether other
+noise was found or not.
 """
 
 from __future__ import annotations
@@ -11,7 +11,6 @@ from __future__ import annotations
 import difflib
 import re
 import unicodedata
-import zlib
 from typing import NamedTuple
 
 import numpy as np
@@ -19,63 +18,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import map_rows, schema
-from .hashing import buckets, distinct_texts, hashed_counts, mix, ngrams, points
+from .confusions import learn, place_hashes
+from .decoding import Decoder
+from .hashing import ROWS, UNIT, buckets, copies, hashed_counts, keys, shares
+from .language import BITS, PLACE_BITS, Model, count_stream
 from .materialize import gathered
 from .mojibake import garbled_spans
+from .symbols import HYPHENS, stream, symbol_of
 
 NOISES = ("hyphen", "misread", "header", "page_number")
 
-# Han characters that are often misread, each pair the misread one and the right one.
-MISREAD = (
-    "吋时 敷数 问间 间问 童量 甩用 衰表 庠序 仔存 刽制 按接 人入 入人 洁结 糸系 系糸 椐据 己已 已己 倍信 汁计 杳查 埋理 泉录 桯程 摸模 诸储 扯址 杰态 柝析 枃构 各备 "
-    "尸户 枝树 援缓 肉内 逋通 菅管 箅算 冈网 钱线 外处 今令 刑型 贞页 措指 迸进 找我 咯络 未末 末未 土士 士土 日曰 曰日 大太 太大 犬大 天夭 夭天 千干 干千 于干 干于 "
-    "戊戌 戌戊 贝见 见贝 乌鸟 鸟乌 兔免 免兔 拔拨 拨拔 侯候 候侯 辨辩 折拆 拆折 析拆 第弟 弟第 笫第 笸笔 侍待 待侍 姓性 牲性 住往 注往 往住 佳住 估佑 位拉 拉位 "
-    "亨享 享亨 巳已 毋母 母毋 井并 开井 升开 历厉 厉历 历厂 广厂 壮状 妆状 帐账 账帐 决快 快决 块决 抉快 准淮 淮准 隹准 埸场 坊场 场扬 扬场 拒柜 杆秆 种钟 钟种 "
-    "轮输 愉输 输轮 徽微 微徽 徵微 哀衷 衷哀 裹里 晴睛 睛晴 清请 请清 情倩 诰请 挨换 捱换 侠块 玫改 政改 改攻 攻改 效放 放效 末来 耒来 束来 朿束 束东 斤斥 斥斤 "
-    "卩即 印即 即印 叩印 坏环 环坏 怀坏 祛法 洼注 住注 读续 续读 渎读 编偏 偏编 徧编 编缟 缓暖 段段 殷段 假段 设没 没设 役设 投设 复夏 夏复 覆复 変变 奕变 弈变"
-).split()
-# One Han character read as two, each the two and the right one.
-SPLIT_APART = (
-    "白勺的 云力动 日寸时 日月明 禾中种 女口如 亻匕化 禾呈程 土止址 木对树 禾口和 女子好 亻也他 亻言信 亻尔你 讠吾语 讠己记 讠十计 讠井讲 纟吉结 纟及级 纟且组 纟充统 "
-    "木几机 木交校 木各格 木娄楼 氵去法 氵去法 氵肖消 氵原源 扌妾接 扌非排 扌旨指 口自咱 日音暗 月生胜 月几肌 石马码 石角确 车仑轮 车专转 钅失铁 饣欠饮 忄生性 忄青情 "
-    "贝才财 目垂睡 火丁灯 王里理 王见现 田介界 弓长张 弓虽强 立占站 米分粉 舟殳般 言十計 金戋钱 马区驱 马佥验 门口问 门日间 门才闭 广木床 走干赶 足各路 身寸射 阝完院 "
-    "古月胡 古攵故 矢口知 亲斤新 其月期 束刂刺 另刂别 亥刂刻 交攵效 每攵敏 者阝都 各阝郃 台匕能 合手拿 门开閞 禾火秋 禾多移 禾责积 禾只积 米青精 米且粗"
-).split()
-# Letters that look alike to a reader of scans, the misread ones and the right ones.
-LETTERS = (
-    "5:s c:e 1:l 1:i 0:o 6:b 9:g 8:b f:t b:h cl:d ii:u ri:n m:in rn:m h:b l:i i:l vv:w li:h lc:k u:n n:u e:c h:in ni:m iv:w q:g 3:e t:f d:cl m:rn"
-).split()
-
-BITS, WORD_BITS = 21, 20
-#: Log price of an edit, and how much better than the text itself a reading must be.
-PRICE, MARGIN = 2.0, 1.5
-#: A word is misread when another reading of it is so many times as frequent.
-WORD_RATIO = 30.0
-BEAM = 24
-
-_RIGHT = {}
-for _pair in MISREAD:
-    _RIGHT.setdefault(_pair[0], []).append(_pair[1])
-_SPLITS = {}
-for _pair in SPLIT_APART:
-    _SPLITS.setdefault(_pair[:2], []).append(_pair[2])
-_SPLIT = re.compile("|".join(_SPLITS))
-_LETTERS = [tuple(x.split(":")) for x in LETTERS]
-#: Characters beside which a run of letters is only a part of a word.
-_BESIDE = r"\u00ad\u00c0-\u052f\u200b-\u200d\u2060\ufeff\ufb00-\ufb06"
-_RUN = re.compile(r"[A-Za-z][A-Za-z0-9]+|[0-9]+[A-Za-z][A-Za-z0-9]+")
-_COMPOUND = re.compile(r"[A-Za-z]{2,}-[A-Za-z]{2,}")
-_BOUND = re.compile(rf"[A-Za-z0-9_.{_BESIDE}]")
-_DIGIT_LETTER = re.compile(r"[0-9][lO]|[lO][0-9.]")
-#: Letters read as marks inside a word, and digits read as letters inside a number.
-_MARKED = re.compile(r"(?<![A-Za-z0-9_!|])[A-Za-z]+[!|][a-z!|]*[a-z](?![A-Za-z0-9_!|(])")
-_NUMBER = re.compile(r"(?<![A-Za-z0-9_.])(?:(?=[lO\d.]*\d)(?=[lO\d.]*[lO])[lO\d]+(?:\.[lO\d]+)+|\d+[lO]\d*|[lO]\d{2,})(?![A-Za-z0-9_])")
-
 _FENCE = re.compile(r"^[ \t]*```", re.M)
 _INVISIBLE = r"\u200b-\u200d\u2060\ufeff"
-HYPHENS = r"-‐‑‒–¬­−"
 #: A word broken over a line end; a long stroke only where nothing parts it from the word.
-BROKEN = re.compile(rf"(?<=[^\W\d_\u2e80-\u9fff])[{_INVISIBLE}]*([{HYPHENS}—~_])[ \t{_INVISIBLE}\u00a0\u2000-\u200a\u202f]*\r?\n[\s{_INVISIBLE}]*(?=[^\W\d_\u2e80-\u9fff])")
+BROKEN = re.compile(rf"(?<=[^\W\d_\u2e80-\u9fff])[{_INVISIBLE}]*([{HYPHENS}\u00ad—~_])[ \t{_INVISIBLE}\u00a0\u2000-\u200a\u202f]*\r?\n[\s{_INVISIBLE}]*(?=[^\W\d_\u2e80-\u9fff])")
 _DIGITS = r"[0-9０-９][0-9０-９OolIｌ]{0,3}"
 PAGE = re.compile(
     rf"^[\s\-—–―~～·•.…|\[\]()（）【】<>《》〈〉*_=]*(?:(?:第|共)\s*{_DIGITS}\s*页(?:\s*[,，/]?\s*共\s*{_DIGITS}\s*页)?|(?:[Pp](?:age|AGE|g)?\.?\s*)?{_DIGITS}(?:\s*/\s*{_DIGITS}|\s+of\s+{_DIGITS})?(?:\s*页)?|(?=[ivxlc]|[IVXLC])(?:[xX]{{0,3}}(?:[iI][xX]|[iI][vV]|[vV]?[iI]{{0,3}})|[lL][xX]{{0,3}}[vV]?[iI]{{0,3}}))"
@@ -91,6 +47,16 @@ _TERMINAL = re.compile(rf"[。！？.!?；;：:”’」』）)\"][\s{_INVISIBLE
 PRINTED = 120
 
 
+class Places:
+    """Counts of places, by one row of cells: too high ones only let more places be looked at."""
+
+    def __init__(self, table: np.ndarray):
+        self.table = (np.maximum(table - np.median(table), 0) / UNIT).astype(np.float32)
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        return self.table[buckets(h, PLACE_BITS)]
+
+
 class Noise(NamedTuple):
     kinds: tuple[str, ...]
     text: str | None
@@ -98,15 +64,14 @@ class Noise(NamedTuple):
 
 # -- printed titles -------------------------------------------------------------------------------------------------
 
-_CANON = {ord(p[0]): p[1] for p in MISREAD if p[0] not in {q[1] for q in MISREAD}}
-
-
-def canon(text: str) -> str:
-    """Letters, digits and Han characters of a title or a line, in one width and case, the plainest misreadings undone."""
-    t = unicodedata.normalize("NFKC", text).lower().translate(_CANON)
-    for a, b in _SPLITS.items():
-        if a in t:
-            t = t.replace(a, b[0])
+def canon(text: str, decoder: Decoder | None = None) -> str:
+    """Letters, digits and Han characters of a title or a line, in one width and case, misreadings undone one by one."""
+    t = unicodedata.normalize("NFKC", text).lower()
+    if decoder:
+        for wrong, right in decoder.double.items():
+            if wrong in t:
+                t = t.replace(wrong, right[0][0])
+        t = t.translate(decoder.plainer)
     return re.sub(r"[\W_]+", "", t)
 
 
@@ -121,14 +86,16 @@ def _like(a: str, b: str, least: float) -> bool:
     return m.quick_ratio() >= least and m.ratio() >= least
 
 
-def is_header(line: str, label: str, chapter: str) -> bool:
+def is_header(line: str, label: str, chapter: str, decoder: Decoder | None = None) -> bool:
     """Whether a line of its own is the title of the book or the chapter, with or without a page number.
 
-    label, chapter: in canonical form.
+    label, chapter: in canonical form. A line of more letters than both titles and a page number can have is none.
     """
-    if len(line) > 90 or _LIST.match(line) and not re.match(r"^\s*-\s.*\s-\s*$", line) or _CAPTION.match(line) or line.lstrip().startswith(("<", ">", "|", "#", "$")):
+    if len(line) > 90 and len(re.sub(r"[\W_]+", "", line)) > 1.43 * max(45, len(label) + len(chapter)) + 8:
+        return False
+    if _LIST.match(line) and not re.match(r"^\s*-\s.*\s-\s*$", line) or _CAPTION.match(line) or line.lstrip().startswith(("<", ">", "|", "#", "$")):
         return False
-    core = canon(line)
+    core = canon(line, decoder)
     if len(core) < 2:
         return False
     bare = re.sub(r"^\d{1,4}(?=[^\d])|(?<=[^\d])\d{1,4}$", "", core)
@@ -144,7 +111,7 @@ def is_header(line: str, label: str, chapter: str) -> bool:
     return bool(CHAPTER.match(text)) and len(canon(text)) <= 45
 
 
-def heading_noise(heading: str, label: str, chapter: str) -> tuple[str, set[str]]:
+def heading_noise(heading: str, label: str, chapter: str, decoder: Decoder | None = None) -> tuple[str, set[str]]:
     """A heading without title and page number joined to it, and the kinds found."""
     kinds: set[str] = set()
     text = heading
@@ -153,188 +120,58 @@ def heading_noise(heading: str, label: str, chapter: str) -> tuple[str, set[str]
         text = text[: m.start()].rstrip()
         kinds.add("page_number")
     m = re.match(r"^(.*?\S)(?:\s*[|｜/·\-—]\s*|\s+)(?=[0-9０-９]{1,3}\s*[.．][0-9０-９]{1,3}\D)", text, re.S)
-    if m and re.search(r"[^\W\d]", m[1]) and is_header(m[1].strip(" |｜/·-—\t\n"), label, chapter):
+    if m and re.search(r"[^\W\d]", m[1]) and is_header(m[1].strip(" |｜/·-—\t\n"), label, chapter, decoder):
         text = text[m.end() :]
         kinds.add("header")
     else:
         m = re.search(r"(?:\s*[|｜]\s*|\s{2,}|\n)([^|｜\n]+)$", text)
-        if m and re.search(r"[^\W\d]", m[1]) and is_header(m[1].strip(), label, chapter):
+        if m and re.search(r"[^\W\d]", m[1]) and is_header(m[1].strip(), label, chapter, decoder):
             text = text[: m.start()].rstrip()
             kinds.add("header")
     return text, kinds
 
 
-# -- decoding -------------------------------------------------------------------------------------------------------
-
-
-def stream_codes(text: str) -> np.ndarray:
-    """Code points with small letters for capital ones and 0 for any digit."""
-    c = points(text)
-    c = np.where((c >= 65) & (c <= 90), c + np.uint32(32), c)
-    return np.where((c >= 48) & (c <= 57), np.uint32(48), c).astype(np.uint32)
-
-
-def word_bucket(word: str) -> int:
-    return zlib.crc32(word.encode("utf-8", "surrogatepass")) >> (32 - WORD_BITS)
-
-
-def count_corpus(cols: list[list], table: np.ndarray) -> None:
-    """Pairs and triples of characters in the first part of the table, words in the second."""
-    size = 1 << BITS
-    for texts in cols:
-        codes = stream_codes("\n".join(t for t in texts if t))
-        if not codes.size:
-            continue
-        for n in (2, 3):
-            table[:size] += np.bincount(buckets(ngrams(codes, n, n), BITS), minlength=size)
-        for t in texts:
-            if t:
-                for w in _RUN.findall(t):
-                    table[size + word_bucket(w.lower())] += 1
-                for w in _COMPOUND.findall(t) if "-" in t else ():
-                    table[size + word_bucket(w.lower())] += 1
-
-
-class Decoder:
-    def __init__(self, table: np.ndarray):
-        self.grams, self.words = table[: 1 << BITS], table[1 << BITS :]
-        self.best: dict[str, str | None] = {}
-        self.right = np.zeros((3, 0x10000), np.uint32)
-        for a, rights in _RIGHT.items():
-            for i, b in enumerate(rights[:3]):
-                self.right[i, ord(a)] = ord(b)
-
-    def suspects(self, texts: list[str]) -> list[list[int]]:
-        """For each text the places of Han characters that one edit would make far more likely; all texts at once."""
-        codes = stream_codes("\n\n" + "\n".join(texts) + "\n\n")
-        out: list[list[int]] = [[] for _ in texts]
-        small = np.minimum(codes, 0xFFFF)
-        hits: set[int] = set()
-        for i in range(3):
-            at = np.nonzero(self.right[i][small])[0]
-            at = at[(at >= 2) & (at < codes.size - 2)]
-            if not at.size:
-                continue
-            new = self.right[i][small[at]]
-            gain = np.zeros(at.size)
-            for first in (-2, -1, 0):
-                old = [codes[at + first + j] for j in range(3)]
-                alt = [new if first + j == 0 else codes[at + first + j] for j in range(3)]
-                gain += np.log((self._count(alt) + 0.3) / (self._count(old) + 0.3))
-            hits.update(at[gain > 2.5].tolist())
-        starts = np.cumsum([2] + [len(t) + 1 for t in texts])
-        if hits:
-            where = np.sort(np.fromiter(hits, np.int64))
-            for w, k in zip(where, np.searchsorted(starts, where, side="right") - 1):
-                if k < len(texts):
-                    out[int(k)].append(int(w - starts[k]))
-        return out
-
-    def _count(self, seq: list[np.ndarray]) -> np.ndarray:
-        h = np.full(seq[0].size, len(seq) + 1, np.uint64)
-        for part in seq:
-            h = mix(h, part)
-        return self.grams[buckets(h, BITS)]
-
-    def _cost(self, text: str) -> float:
-        """Minus log likelihood of the characters from the third on, given the two before each."""
-        codes = stream_codes(text)
-        three = self._count([codes[:-2], codes[1:-1], codes[2:]])
-        two = self._count([codes[:-2], codes[1:-1]])
-        return float(-np.log((three + 0.05) / (two + 5.0)).sum())
-
-    def read(self, text: str, places: list[int]) -> list[tuple[int, int, str]]:
-        """The edits (start, end, new) of the cheapest reading around the places; a beam search over their choices."""
-        options: list[tuple[int, int, list[str]]] = [(p, p + 1, _RIGHT[text[p]]) for p in places]
-        options += [(m.start(), m.end(), _SPLITS[m[0]]) for m in _SPLIT.finditer(text)]
-        options.sort()
-        edits: list[tuple[int, int, str]] = []
-        while options:
-            group = [options.pop(0)]
-            while options and options[0][0] - group[-1][1] < 3 and len(group) < 12:
-                group.append(options.pop(0))
-            left, right = max(0, group[0][0] - 2), min(len(text), group[-1][1] + 2)
-            pad = "\n\n"[: 2 - (group[0][0] - left)]
-            end = "\n\n"[: 2 - (right - group[-1][1])]
-            beam: list[tuple[float, str, int, tuple]] = [(0.0, pad, left, ())]
-            for a, b, rights in group:
-                new = []
-                for price, done, at, made in beam:
-                    new.append((price, done, at, made))
-                    if a >= at:
-                        new += [(price + PRICE, done + text[at:a] + r, b, (*made, (a, b, r))) for r in rights]
-                beam = sorted(new, key=lambda x: x[0])[: BEAM * 4]
-            scored = [(price + self._cost(done + text[at:right] + end), made) for price, done, at, made in beam]
-            plain = next(c for c, made in scored if not made)
-            cost, made = min(scored, key=lambda x: x[0])
-            if made and plain - cost > MARGIN:
-                edits += made
-        return edits
-
-    def word(self, word: str) -> str | None:
-        """The right reading of a misread word, or None for words that stand as they are."""
-        key = word.lower()
-        if key not in self.best:
-            if len(self.best) > 1 << 17:
-                self.best.clear()
-            self.best[key] = self._word(key)
-        return self.best[key]
-
-    def _word(self, word: str) -> str | None:
-        if len(word) < 3 or len(word) > 24 or word.isdigit():
-            return None
-        own = int(self.words[word_bucket(word)])
-        best, most, seen, layer = None, max(20.0, WORD_RATIO * (own + 0.5)), {word}, [word]
-        for depth in range(3 if len(word) > 5 else 1):
-            new = []
-            for w in layer:
-                for wrong, right in _LETTERS:
-                    at = w.find(wrong)
-                    while at >= 0:
-                        x = w[:at] + right + w[at + len(wrong) :]
-                        if x not in seen:
-                            seen.add(x)
-                            new.append(x)
-                            n = int(self.words[word_bucket(x)])
-                            if n > most and x.isalpha():
-                                best, most = x, n
-                        at = w.find(wrong, at + 1)
-            if best:
-                return best
-            layer = new[:400]
-        return None
-
-    def marked(self, word: str) -> str | None:
-        """The reading of a word with marks in it that the corpus knows best; None where it knows none."""
-        readings = [""]
-        for c in word:
-            readings = [r + x for r in readings for x in ("il" if c in "!|" else c)][:64]
-        best = max(readings, key=self.known)
-        return best if self.known(best) >= 3 else None
-
-    def known(self, word: str) -> int:
-        return int(self.words[word_bucket(word.lower())])
-
-
 # -- paragraphs -----------------------------------------------------------------------------------------------------
 
+#: Log odds for a line end where nothing was taken out to be a paragraph's end, and where something was.
+WHOLE, TORN = 2.0, -4.0
+#: How far the language model may move them, what a line too long to be a wrapped one adds, what unlike widths cost.
+SURE, UNWRAPPED, UNLIKE = 8.0, 12.0, 4.0
+
 
-def paragraphs(lines: list[str], cut: list[bool], wrapped: list[bool] | None = None) -> str:
-    """Join lines into paragraphs; cut[i] tells that something was taken out before line i, wrapped[i] whether the line
-    end before it may be one of a wrapped line (all may if not given).
+def paragraphs(lines: list[str], cut: list[bool], model: Model | None = None, stays: list[bool] | None = None) -> str:
+    """Join lines into paragraphs; cut[i] tells that something was taken out before line i, stays[i] that the line end
+    before it stays in any case.
 
-    Each line end is a break or not; both have a price from the line before it and the beginning of the next. Prices
-    add up and none depends on what is chosen elsewhere, so the cheaper choice at each line end gives the cheapest
-    series, however many lines a paragraph has.
+    Each line end is a paragraph's end or not. The log odds of one come from the symbols on both sides; besides, the
+    lines inside a paragraph were printed to one width, so two line ends in a row that are none cost the difference of
+    their lines' widths. The cheapest series is found by dynamic programming over the decisions at two line ends in a
+    row, however long it is.
     """
     if not lines:
         return ""
+    n = len(lines)
+    ends = [0.0] + [0.0 if stays and stays[i] else _end_odds(lines[i - 1], lines[i], cut[i], model) for i in range(1, n)]
+    stay = [True] + [bool(stays and stays[i]) or _fixed(lines[i - 1]) or _fixed(lines[i]) for i in range(1, n)]
+    # cost of the best series up to a line end, by whether that one joins; and where it came from
+    best, back = {False: 0.0}, []
+    for i in range(1, n):
+        new, came = {}, {}
+        for join in (False, True) if not stay[i] else (False,):
+            own = max(0.0, ends[i]) if join else max(0.0, -ends[i]) if not stay[i] else 0.0
+            ways = [(price + own + (_unlike(lines[i - 2], lines[i - 1]) if join and before else 0.0), before) for before, price in best.items()]
+            new[join], came[join] = min(ways)
+        best = new
+        back.append(came)
+    join, joins = min(best, key=lambda j: best[j]), []
+    for came in reversed(back):
+        joins.append(join)
+        join = came[join]
     out, parts = [], [lines[0]]
-    for i in range(1, len(lines)):
-        a, b = lines[i - 1], lines[i]
-        if _joins(a, b, cut[i], cut[i - 1]) and (cut[i] or wrapped is None or wrapped[i]):
+    for b, join in zip(lines[1:], reversed(joins)):
+        if join:
             parts[-1], b = parts[-1].rstrip(), b.lstrip()
-            parts.append(b if _wide(parts[-1][-1]) or _wide(b[0]) else f" {b}")
+            parts.append(b if not parts[-1] or not b or _wide(parts[-1][-1]) or _wide(b[0]) else f" {b}")
         else:
             out.append("".join(parts))
             parts = [b]
@@ -342,34 +179,39 @@ def paragraphs(lines: list[str], cut: list[bool], wrapped: list[bool] | None = N
     return "\n".join(out)
 
 
-def _wide(c: str) -> bool:
-    """Whether no space stands beside a character: Han ones and their marks, but not the wide forms of Latin letters."""
-    plain = unicodedata.normalize("NFKC", c)
-    return ord(c) > 0x2E7F and not (plain.isascii() and plain.isalnum())
+#: The symbols of a line, as symbols.py takes them.
+_UNIT = re.compile(r"[㐀-鿿]|[^\W_㐀-鿿]+|[^\w\s]|_")
 
 
-def _fixed(line: str) -> bool:
-    return bool(_LIST.match(line) or _CAPTION.match(line) or line.lstrip().startswith(("<", ">", "|", "#", "$")) or not line.strip())
+def _unlike(a: str, b: str) -> float:
+    return UNLIKE * abs(len(a) - len(b)) / max(len(a), len(b), 1)
 
 
-def _joins(a: str, b: str, cut: bool, torn: bool) -> bool:
-    """Whether no break between two lines is cheaper than one; torn: something was taken out before line a as well."""
-    fixed = _fixed(a) or _fixed(b)
-    return _join_price(a, b, cut, fixed) < _break_price(a, cut, torn, fixed)
+def _end_odds(a: str, b: str, cut: bool, model: Model | None) -> float:
+    """Log odds that a paragraph ends between two lines."""
+    odds = TORN if cut else WHOLE + (UNWRAPPED if max(len(a), len(b)) > PRINTED else 0.0)
+    if _TERMINAL.search(a):
+        return odds + SURE
+    if re.match(r"\s*[a-z，。；、]", b):
+        odds -= 3.0
+    if model is None:
+        return odds
+    first, second = _UNIT.findall(a)[-2:], _UNIT.search(b)
+    if not first or not second:
+        return odds
+    near = ([0] + [symbol_of(u) for u in first])[-2:]
+    gain = model.end_gain(near[0], near[1], symbol_of(second[0]))
+    return odds + max(-SURE, min(SURE, gain))
 
 
-def _break_price(a: str, cut: bool, torn: bool, fixed: bool) -> float:
-    if fixed:
-        return 0.0
-    return 0.0 if _TERMINAL.search(a) or not cut and not torn and len(a) < 12 else 6.0 if cut else 3.0
+def _wide(c: str) -> bool:
+    """Whether no space stands beside a character: Han ones and their marks, but not the wide forms of Latin letters."""
+    plain = unicodedata.normalize("NFKC", c)
+    return ord(c) > 0x2E7F and not (plain.isascii() and plain.isalnum())
 
 
-def _join_price(a: str, b: str, cut: bool, fixed: bool) -> float:
-    if fixed:
-        return 99.0
-    if _TERMINAL.search(a):
-        return 4.0
-    return 0.5 if cut or re.match(r"\s*[a-z，。；、]", b) else 2.0
+def _fixed(line: str) -> bool:
+    return bool(_LIST.match(line) or _CAPTION.match(line) or line.lstrip().startswith(("<", ">", "|", "#", "$")) or not line.strip())
 
 
 # -- a field --------------------------------------------------------------------------------------------------------
@@ -396,138 +238,127 @@ class Mask:
         return any(a <= at < b for a, b in self.garbled)
 
 
-def _misread(text: str, places: list[int], masked: Mask, decoder: Decoder) -> list[tuple[int, int, str]]:
-    edits = decoder.read(text, places) if places or _SPLIT.search(text) else []
-    for m in _RUN.finditer(text):
-        new = decoder.word(m[0])
-        if new and not _BOUND.match(text[m.start() - 1 : m.start()]) and not _BOUND.match(text[m.end() : m.end() + 1]):
-            edits.append((m.start(), m.end(), new.capitalize() if m[0][0].isupper() else new))
-    if "!" in text or "|" in text:
-        for m in _MARKED.finditer(text):
-            begin = text.rfind("\n", 0, m.start()) + 1
-            if text[begin : begin + 1] != "|" and (new := decoder.marked(m[0])):
-                edits.append((m.start(), m.end(), new))
-    if _DIGIT_LETTER.search(text):
-        edits += [(m.start(), m.end(), m[0].replace("l", "1").replace("O", "0")) for m in _NUMBER.finditer(text)]
-    return [e for e in edits if e[0] not in masked]
-
-
-def _apply(text: str, edits: list[tuple[int, int, str]]) -> str:
+def _apply(text: str, edits: list[tuple[int, int, str, str]]) -> str:
     at, out = 0, []
-    for a, b, new in sorted(edits):
-        if a >= at:
-            out += [text[at:a], new]
-            at = b
+    for a, b, new, _ in edits:
+        out += [text[at:a], new]
+        at = b
     return "".join(out) + text[at:]
 
 
-def clean_field(text: str | None, places: list[int], label: str, chapter: str, decoder: Decoder, heading: bool) -> Noise:
-    """The repaired text of a field and the kinds of noise found in it. Null and empty texts have none."""
-    if not text or not text.strip():
-        return Noise((), text)
+class Field(NamedTuple):
+    """A field without headers and page numbers. gone: the lines before which others were taken out."""
+
+    text: str
+    kinds: set[str]
+    gone: set[int]
+
+
+def without_lines(text: str, label: str, chapter: str, decoder: Decoder, heading: bool) -> Field:
     kinds: set[str] = set()
-    masked = Mask(text)
     if heading:
-        new, found = heading_noise(text, label, chapter)
-        kinds |= found
-        if found:
-            text, places, masked = new, decoder.suspects([new])[0], Mask(new)
-    else:
-        lines, at, gone = [], 0, set()
-        for line in text.split("\n"):
-            kind = None
-            if len(line) <= 90 and line.strip():
-                if PAGE.match(line):
-                    kind = "page_number"
-                elif not _STOP.search(line) and is_header(line, label, chapter):
-                    kind = "header"
-            if kind and at in masked:
+        new, kinds = heading_noise(text, label, chapter, decoder)
+        return Field(new, kinds, set())
+    lines, at, gone, masked = [], 0, set(), None
+    for line in text.split("\n"):
+        kind = None
+        if line.strip():
+            if PAGE.match(line):
+                kind = "page_number"
+            elif not _STOP.search(line) and is_header(line, label, chapter, decoder):
+                kind = "header"
+        if kind:
+            masked = masked or Mask(text)
+            if at in masked:
                 kind = None
-            if kind:
-                kinds.add(kind)
-                gone.add(len(lines))
-            else:
-                lines.append(line)
-            at += len(line) + 1
-        if gone:
-            text = "\n".join(lines)
-            places, masked = decoder.suspects([text])[0], Mask(text)
-    broken = [m for m in BROKEN.finditer(text) if _is_break(text, m, decoder) and m.start() not in masked] if "\n" in text else []
-    ends = [] if heading else _line_ends(text, gone, broken)
-    if broken:
-        kinds.add("hyphen")
-        edits = []
-        for m in broken:
-            one, two = _sides(text, m)
-            compound = decoder.known(f"{one}-{two}") > decoder.known(one + two)
-            edits.append((m.start(), m.end(), "-" if compound else ""))
-        text = _apply(text, edits)
-        places, masked = decoder.suspects([text])[0], Mask(text)
-    edits = _misread(text, places, masked, decoder)
-    if edits:
-        kinds.add("misread")
-        text = _apply(text, edits)
-    if heading:
-        text = re.sub(r"\s*\n\s*", " ", text)
-    elif len(ends) > 1:
-        text = _joined(text, ends)
-    return Noise(tuple(k for k in NOISES if k in kinds), text)
+        if kind:
+            kinds.add(kind)
+            gone.add(len(lines))
+        else:
+            lines.append(line)
+        at += len(line) + 1
+    return Field("\n".join(lines) if gone else text, kinds, gone)
 
 
-def _line_ends(text: str, gone: set[int], broken: list[re.Match]) -> list[tuple[bool, bool]]:
-    """For each line that begins after the words broken over a line end are joined: whether lines were taken out before
-    it, and whether the printed lines on both sides are short enough to be wrapped ones.
+def clean_fields(texts: list[str | None], titles: list[tuple[str, str]], decoder: Decoder, heading: bool) -> list[Noise]:
+    """The repaired texts of a batch of fields and the kinds of noise found in each. Null and empty texts have none.
 
-    gone: the lines of the text before which others were taken out.
+    titles: the label of the book and the chapter of each, in canonical form.
     """
-    lines, inside = text.split("\n"), {i for m in broken for i in range(m.start(), m.end())}
-    out, at = [(0 in gone, False)], 0
-    for n in range(1, len(lines)):
-        at += len(lines[n - 1]) + 1
-        if at - 1 not in inside:
-            out.append((n in gone, max(len(lines[n - 1]), len(lines[n])) <= PRINTED))
+    held = [i for i, t in enumerate(texts) if t and not t.isspace()]
+    fields = [without_lines(texts[i], *titles[i], decoder, heading) for i in held]
+    masks = [Mask(f.text) for f in fields]
+    breaks = [[(m.start(), m.end(), m[1]) for m in BROKEN.finditer(f.text) if not f.text[m.end()].isupper() or m[1] in "-‐\u2011"] if "\n" in f.text else [] for f in fields]
+    found = decoder.decode([f.text for f in fields], breaks, lambda k, at: at in masks[k])
+    out = [Noise((), t) for t in texts]
+    for i, f, mask, edits in zip(held, fields, masks, found):
+        kinds = f.kinds.union(*(e[3].split() for e in edits))
+        text = _apply(f.text, edits)
+        if heading:
+            text = re.sub(r"\s*\n\s*", " ", text)
+        elif "\n" in text:
+            text = _reflowed(text, _cuts(f.text, f.gone, edits), decoder.model, Mask(text) if edits else mask)
+        out[i] = Noise(tuple(k for k in NOISES if k in kinds), text)
+    return out
+
+
+def _cuts(text: str, gone: set[int], edits: list[tuple[int, int, str, str]]) -> list[bool]:
+    """For each line that is left after the edits, whether lines were taken out before it."""
+    inside = {i for a, b, _, _ in edits if "\n" in text[a:b] for i in range(a, b)}
+    out, at, n = [0 in gone], 0, 1
+    while (at := text.find("\n", at)) >= 0:
+        if at not in inside:
+            out.append(n in gone)
+        at, n = at + 1, n + 1
     return out
 
 
-def _joined(text: str, ends: list[tuple[bool, bool]]) -> str:
-    """Paragraphs of the text outside code, each stretch by itself; ends as _line_ends gives them.
+def _reflowed(text: str, cut: list[bool], model: Model, masked: Mask) -> str:
+    """Paragraphs of the text outside code, each stretch by itself.
 
     A line end beside a garbled sequence stays, as the mark that would tell a paragraph's end can't be read there.
     """
-    out, part, cut, wrapped, fenced, at, masked = [], [], [], [], False, 0, Mask(text)
-    for line, (taken, short) in zip(text.split("\n"), ends, strict=True):
+    lines = text.split("\n")
+    if not any(cut) and all(_TERMINAL.search(x) or not x.strip() for x in lines[:-1]):
+        return text
+    out, part, torn, stays, fenced, at = [], [], [], [], False, 0
+    for line, taken in zip(lines, cut, strict=True):
         if line.lstrip().startswith("```") or fenced:
             if part:
-                out.append(paragraphs(part, cut, wrapped))
-                part, cut, wrapped = [], [], []
+                out.append(paragraphs(part, torn, model, stays))
+                part, torn, stays = [], [], []
             out.append(line)
             fenced ^= line.lstrip().startswith("```")
         else:
-            if short and not taken and part and _joins(part[-1], line, False, cut[-1]):
-                short = not any(i in masked for i in range(max(0, at - 4), at + 3))
+            open_end = bool(part) and not taken and not (_TERMINAL.search(part[-1]) or _fixed(part[-1]) or _fixed(line))
+            stays.append(open_end and any(i in masked for i in range(max(0, at - 4), at + 3)))
             part.append(line)
-            cut.append(taken)
-            wrapped.append(short)
+            torn.append(taken)
         at += len(line) + 1
     if part:
-        out.append(paragraphs(part, cut, wrapped))
+        out.append(paragraphs(part, torn, model, stays))
     return "\n".join(out)
 
 
-def _sides(text: str, m: re.Match) -> tuple[str, str]:
-    one = re.search(r"[A-Za-z]+$", text[max(0, m.start() - 30) : m.start()])
-    two = re.match(r"[A-Za-z]+", text[m.end() : m.end() + 30])
-    return (one[0] if one else ""), (two[0] if two else "")
+# -- the table ------------------------------------------------------------------------------------------------------
 
 
-def _is_break(text: str, m: re.Match, decoder: Decoder) -> bool:
-    if m[1] not in "—~_":
-        return not text[m.end()].isupper() or m[1] in "-‐\u2011"
-    one, two = _sides(text, m)
-    return decoder.known(one + two) > decoder.known(one)
+def trained(df: DataFrame, content: str, heading: str) -> Decoder:
+    """The decoder for a table: counts of the language model, then the confusions, each from all rows."""
+    hashed = [(content, keys(content)), (heading, keys(heading, content))]
+    copied = copies(df, *[k for _, k in hashed])
+    spark = df.sparkSession
+    shared = spark.sparkContext.broadcast(copied)
 
+    def count(cols, table):
+        main, places = table[: -(1 << PLACE_BITS)], table[-(1 << PLACE_BITS) :]
+        for at in (0, 3):
+            count_stream(stream([t or "" for t in cols[at]]), shares(shared.value, cols[at + 1], cols[at + 2]), main, places, place_hashes)
 
-# -- the table ------------------------------------------------------------------------------------------------------
+    columns = [c for name, k in hashed for c in (name, *k)]
+    table = hashed_counts(df, tuple(columns), count, ((ROWS << BITS) + 1 + (1 << PLACE_BITS),))
+    model = Model(table[: -(1 << PLACE_BITS)])
+    return Decoder(model, learn(df, hashed, model, Places(table[-(1 << PLACE_BITS) :]), copied))
 
 
 def clean_scans(df: DataFrame, titles: DataFrame, key: str = "row_id", content: str = "content", heading: str = "section_h2", book: str = "book_name", chapter: str = "chapter") -> DataFrame:
@@ -535,33 +366,29 @@ def clean_scans(df: DataFrame, titles: DataFrame, key: str = "row_id", content:
 
     titles: book_name and label, the printed title; one row a book, collected. Noise columns are arrays of kinds. Null
     fields stay null, empty ones empty, without noise; unknown books and chapters only leave out what needs them.
-    Repeated rows come out alike; an empty table gives an empty result. The n-gram and word counts are taken over all
-    rows, in a table of fixed size. Each distinct content counts once and each heading once for each distinct content
-    under it, so that copies don't vote for their own misreadings; a heading that is misread alike over many different
-    contents still does.
+    Repeated rows come out alike; an empty table gives an empty result. Counts and confusions are taken over all rows,
+    in tables of fixed size. The copies of a content, and of a heading over the same content, share one vote, so that
+    they don't vote for their own misreadings; a heading that is misread alike over many different contents still does.
     """
-    labels = {r[0]: canon(r[1] or "") for r in gathered(titles.select("book_name", "label"), "titles") if r[0]}
-    texts = distinct_texts(df, content).union(distinct_texts(df, heading, beside=content))
-    counts = hashed_counts(texts, ("text",), count_corpus, ((1 << BITS) + (1 << WORD_BITS),)).astype(np.int32)
-    shared = df.sparkSession.sparkContext.broadcast(counts)
+    decoder = trained(df, content, heading)
+    labels = {r[0]: canon(r[1] or "", decoder) for r in gathered(titles.select("book_name", "label"), "titles") if r[0]}
+    shared = df.sparkSession.sparkContext.broadcast(decoder)
     kind = dict(df.select(F.col(f"`{key}`").alias("k")).dtypes)["k"]
 
     def make():
-        decoder, titled = Decoder(shared.value), {}
+        decoder, titled = shared.value, {}
 
         def run(cols):
-            keys, contents, headings, books, chapters = cols
-            out = [keys, [], [], [], []]
-            for field, texts in ((1, headings), (3, contents)):
-                places = decoder.suspects([t or "" for t in texts])
-                for t, at, b, c in zip(texts, places, books, chapters):
-                    if c not in titled:
-                        if len(titled) > 1 << 14:
-                            titled.clear()
-                        titled[c] = canon(c or "")
-                    done = clean_field(t, at, labels.get(b, ""), titled[c], decoder, field == 1)
-                    out[field].append(done.text)
-                    out[field + 1].append(list(done.kinds))
+            row_keys, contents, headings, books, chapters = cols
+            for c in set(chapters) - titled.keys():
+                if len(titled) > 1 << 14:
+                    titled.clear()
+                titled[c] = canon(c or "", decoder)
+            names = [(labels.get(b, ""), titled[c] if c in titled else canon(c or "", decoder)) for b, c in zip(books, chapters)]
+            out = [row_keys]
+            for texts, heads in ((headings, True), (contents, False)):
+                done = clean_fields(texts, names, decoder, heads)
+                out += [[d.text for d in done], [list(d.kinds) for d in done]]
             return out
 
         return run

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .batches import map_rows, schema
 from .charset import clean_class
-from .hashing import buckets, distinct_texts, hashed_counts, ngrams, points
+from .hashing import ROWS, UNIT, Counts, add, copies, hashed_counts, keys, ngrams, points, shares
 from .materialize import gathered, written
 
 KINDS = ("prose", "list", "table", "junk")
@@ -220,20 +220,22 @@ def _codes(text: str) -> np.ndarray:
     return np.where((codes >= 65) & (codes <= 90), codes + np.uint32(32), codes)
 
 
-def count_ngrams(cols: list[list], table: np.ndarray) -> None:
-    """Trigrams of characters, and in the last cell the texts that aren't blank."""
-    codes = _codes("\n".join(t for t in cols[0] if t))
+def count_ngrams(texts: list[str | None], units: np.ndarray, table: np.ndarray) -> None:
+    """Trigrams of characters, and in the last cell the texts that aren't blank, all in units."""
+    held = [t or "" for t in texts]
+    codes = _codes("\n".join(held))
     if codes.size:
-        table[:-1] += np.bincount(buckets(ngrams(codes, NGRAM), NGRAM_BITS), minlength=table.size - 1)
-    table[-1] += sum(1 for t in cols[0] if t and not t.isspace())
+        weight = np.repeat(units, [len(t) + 1 for t in held])[: codes.size]
+        add(table[:-1], ngrams(codes, NGRAM), NGRAM_BITS, weight)
+    table[-1] += int(units[[bool(t) and not t.isspace() for t in held]].sum())
 
 
 class Fluency:
     """Whether the n-grams of letters in a text are those of the corpus: log of a lower quantile of their counts over a
     bound that grows with the corpus."""
 
-    def __init__(self, table: np.ndarray, documents: int):
-        self.table, self.bound = table, max(2.0, 0.004 * documents)
+    def __init__(self, table: np.ndarray):
+        self.counts, self.bound = Counts(table[:-1], NGRAM_BITS, UNIT), max(2.0, 0.004 * float(table[-1]) / UNIT)
         self.letters = np.array([chr(c).isalpha() for c in range(0x10000)])
 
     def of(self, texts: list[str]) -> list[float]:
@@ -242,7 +244,7 @@ class Fluency:
         inside = self.letters[np.minimum(codes, 0xFFFF)]
         whole = np.zeros(codes.size, bool)
         whole[2:] = inside[2:] & inside[1:-1] & inside[:-2]
-        seen = np.where(whole, self.table[buckets(ngrams(codes, NGRAM), NGRAM_BITS)], -1)
+        seen = np.where(whole, self.counts.of(ngrams(codes, NGRAM)), -1)
         out, at = [], 0
         for t in texts:
             part = seen[at : at + len(t)]
@@ -259,18 +261,21 @@ def text_types(df: DataFrame, words: DataFrame, key: str = "doc_id", text: str =
     A word is a Han character, a run of other letters or a number; words: the table of common words (column word),
     which is small and collected. Null, empty and blank texts have zeros and a null kind. Repeated rows come out alike;
     an empty table gives an empty result. The vote patterns are taken over all rows, the n-gram
-    counts and the number of documents they are held against over distinct texts, so that copies of junk don't make it
-    fluent.
+    counts and the number of documents they are held against with one vote for all copies of a text, so that copies of
+    junk don't make it fluent.
     """
     common = CommonWords(sorted(r[0] for r in gathered(words.select("word").dropna().distinct(), "words")))
-    counts = hashed_counts(distinct_texts(df, text), ("text",), count_ngrams, ((1 << NGRAM_BITS) + 1,))
-    table, documents = counts[:-1].astype(np.int32), int(counts[-1])
     spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(table)
+    copied = spark.sparkContext.broadcast(copies(df, keys(text)))
+
+    def count(cols, table):
+        count_ngrams(cols[0], shares(copied.value, cols[1], cols[2]), table)
+
+    shared = spark.sparkContext.broadcast(Fluency(hashed_counts(df, (text, *keys(text)), count, ((ROWS << NGRAM_BITS) + 1,))))
     kind = dict(df.select(F.col(f"`{key}`").alias("k")).dtypes)["k"]
 
     def make():
-        fluency = Fluency(shared.value, documents)
+        fluency = shared.value
 
         def run(cols):
             out = [cols[0]] + [[] for _ in range(6)]
