@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .hashing import UNIT, Counts, mix, shares
+from .hashing import UNIT, mix
 from .language import hashes
 from .materialize import gathered
 from .symbols import HAN, WORD, stream
@@ -67,7 +67,7 @@ def occurrences(lm, places, copied: Counts):
 
     def run(texts: list, one: np.ndarray, two: np.ndarray) -> dict[tuple[int, str], int]:
         s = stream([t or "" for t in texts])
-        weight = shares(copied, one, two)
+        weight = copied.units(one, two)
         out: dict[tuple[int, str], int] = {}
         for width in (1, 2):
             h = place_hashes(s.sym, width)

@@ -55,6 +55,19 @@ def add(table: np.ndarray, h: np.ndarray, bits: int, weight: np.ndarray | int =
         np.add.at(table, buckets(h, bits, row) + (row << bits), weight)
 
 
+def sparse(table: np.ndarray, usual: float = 0.0) -> tuple[np.ndarray, np.ndarray, float]:
+    """Places and values of the cells of a table other than the usual ones."""
+    flat = table.reshape(-1)
+    at = np.nonzero(flat != usual)[0]
+    return at.astype(np.int32), flat[at], usual
+
+
+def dense(state: tuple[np.ndarray, np.ndarray, float], shape: tuple[int, ...]) -> np.ndarray:
+    out = np.full(int(np.prod(shape)), state[2], np.float32)
+    out[state[0]] = state[1]
+    return out.reshape(shape)
+
+
 class Counts:
     """Look-ups in a table that add() filled."""
 
@@ -64,6 +77,13 @@ class Counts:
         floor = np.median(rows, axis=1, keepdims=True)
         self.table = (np.maximum(rows - floor, 0) / unit).astype(np.float32)
 
+    def __getstate__(self):
+        # only filled cells travel
+        return self.bits, sparse(self.table)
+
+    def __setstate__(self, state):
+        self.bits, self.table = state[0], dense(state[1], (ROWS, 1 << state[0]))
+
     def of(self, h: np.ndarray) -> np.ndarray:
         return np.minimum(self.table[0][buckets(h, self.bits, 0)], self.table[1][buckets(h, self.bits, 1)])
 
@@ -78,20 +98,38 @@ def keys(*columns: str) -> list[Column]:
 COPY_BITS = 22
 
 
-def copies(df: DataFrame, *hashed: list[Column]) -> Counts:
-    """How often each text occurs, by the hashes that keys() gives. Only hashes are exchanged, never the texts."""
+class Copies:
+    """How often a text occurs, by its two hashes. Once is the usual number, and isn't kept."""
+
+    def __init__(self, table: np.ndarray):
+        counts = Counts(table, COPY_BITS).table
+        self.cells, self.number = [], []
+        for row in counts:
+            at = np.nonzero(row > 1)[0]
+            self.cells.append(at.astype(np.int32))
+            self.number.append(row[at].astype(np.int64))
+
+    def of(self, *hashed: np.ndarray) -> np.ndarray:
+        out = np.full(hashed[0].size, np.iinfo(np.int64).max)
+        for cells, number, h in zip(self.cells, self.number, hashed):
+            cell = (h.view(np.uint64) >> np.uint64(64 - COPY_BITS)).astype(np.int32)
+            at = np.minimum(np.searchsorted(cells, cell), max(0, cells.size - 1))
+            n = np.where(cells[at] == cell, number[at], 1) if cells.size else np.ones(h.size, np.int64)
+            out = np.minimum(out, n)
+        return out
+
+    def units(self, *hashed: np.ndarray) -> np.ndarray:
+        """The units of each text: UNIT over its number of copies."""
+        return np.maximum(1, UNIT // self.of(*hashed))
+
+
+def copies(df: DataFrame, *hashed: list[Column]) -> Copies:
+    """The copies of all texts, by the hashes that keys() gives. Only hashes are exchanged, never the texts."""
     cells = [F.shiftrightunsigned(h, 64 - COPY_BITS) + (row << COPY_BITS) for pair in hashed for row, h in enumerate(pair)]
     rows = df.select(F.explode(F.array(*cells)).alias("cell")).groupBy("cell").agg(F.count("*").alias("n")).toArrow()
     table = np.zeros(ROWS << COPY_BITS, np.int64)
     table[rows["cell"].to_numpy()] = rows["n"].to_numpy()
-    return Counts(table, COPY_BITS)
-
-
-def shares(counts: Counts, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-    """The units of each text: UNIT over its number of copies."""
-    at = [(h.view(np.uint64) >> np.uint64(64 - counts.bits)).astype(np.int64) for h in (one, two)]
-    n = np.minimum(counts.table[0][at[0]], counts.table[1][at[1]])
-    return np.maximum(1, UNIT // np.maximum(n, 1).astype(np.int64))
+    return Copies(table)
 
 
 def hashed_counts(df: DataFrame, columns: tuple[str | Column, ...], count: Callable[[list, np.ndarray], None], shape: tuple[int, ...], rows: int = 1000) -> np.ndarray:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .batches import map_rows, schema
 from .confusions import learn, place_hashes
 from .decoding import Decoder
-from .hashing import ROWS, UNIT, buckets, copies, hashed_counts, keys, shares
+from .hashing import ROWS, UNIT, buckets, copies, dense, hashed_counts, keys, sparse
 from .language import BITS, PLACE_BITS, Model, count_stream
 from .materialize import gathered
 from .mojibake import garbled_spans
@@ -53,6 +53,12 @@ class Places:
     def __init__(self, table: np.ndarray):
         self.table = (np.maximum(table - np.median(table), 0) / UNIT).astype(np.float32)
 
+    def __getstate__(self):
+        return sparse(self.table)
+
+    def __setstate__(self, state):
+        self.table = dense(state, (1 << PLACE_BITS,))
+
     def of(self, h: np.ndarray) -> np.ndarray:
         return self.table[buckets(h, PLACE_BITS)]
 
@@ -353,7 +359,7 @@ def trained(df: DataFrame, content: str, heading: str) -> Decoder:
     def count(cols, table):
         main, places = table[: -(1 << PLACE_BITS)], table[-(1 << PLACE_BITS) :]
         for at in (0, 3):
-            count_stream(stream([t or "" for t in cols[at]]), shares(shared.value, cols[at + 1], cols[at + 2]), main, places, place_hashes)
+            count_stream(stream([t or "" for t in cols[at]]), shared.value.units(cols[at + 1], cols[at + 2]), main, places, place_hashes)
 
     columns = [c for name, k in hashed for c in (name, *k)]
     table = hashed_counts(df, tuple(columns), count, ((ROWS << BITS) + 1 + (1 << PLACE_BITS),))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .batches import map_rows, schema
 from .charset import clean_class
-from .hashing import ROWS, UNIT, Counts, add, copies, hashed_counts, keys, ngrams, points, shares
+from .hashing import ROWS, UNIT, Counts, add, copies, hashed_counts, keys, ngrams, points
 from .materialize import gathered, written
 
 KINDS = ("prose", "list", "table", "junk")
@@ -269,7 +269,7 @@ def text_types(df: DataFrame, words: DataFrame, key: str = "doc_id", text: str =
     copied = spark.sparkContext.broadcast(copies(df, keys(text)))
 
     def count(cols, table):
-        count_ngrams(cols[0], shares(copied.value, cols[1], cols[2]), table)
+        count_ngrams(cols[0], copied.value.units(cols[1], cols[2]), table)
 
     shared = spark.sparkContext.broadcast(Fluency(hashed_counts(df, (text, *keys(text)), count, ((ROWS << NGRAM_BITS) + 1,))))
     kind = dict(df.select(F.col(f"`{key}`").alias("k")).dtypes)["k"]
