@@ -20,11 +20,12 @@ from pyspark.sql import functions as F
 
 from .hashing import UNIT, mix
 from .language import hashes
-from .materialize import gathered
+from .materialize import gathered, written
 from .symbols import HAN, WORD, stream
 
-#: How often a place must have been seen, and how rare another symbol must be there, to be looked at.
-PLACE_LEAST, RARE = 20, 0.1
+#: How often a place must have been seen, at least and as a share of all symbols, so that their number has a bound at
+#: every size of the corpus; and how rare another symbol must be there.
+PLACE_LEAST, PLACE_SHARE, RARE = 20, 1e-6, 0.1
 #: Places that a confusion must have struck, and how many (and how many occurrences of the right symbol in them) against
 #: the number that an even rate would give; the lowest rate worth a reading, and the highest, beyond which it is taken for
 #: another word in its own right.
@@ -62,9 +63,15 @@ def _rare(lm, sym: np.ndarray, at: np.ndarray) -> np.ndarray:
     return lm.counts.of(hashes(3, sym[at - 2], sym[at - 1], sym[at])) <= RARE * lm.counts.of(hashes(2, sym[at - 2], sym[at - 1]))
 
 
+def place_least(lm) -> float:
+    return max(PLACE_LEAST, PLACE_SHARE * lm.total)
+
+
 def occurrences(lm, places, copied: Counts):
     """A function from texts and their hashes to units by place and symbol as text: in frequent places only."""
 
+    least = place_least(lm)
+
     def run(texts: list, one: np.ndarray, two: np.ndarray) -> dict[tuple[int, str], int]:
         s = stream([t or "" for t in texts])
         weight = copied.units(one, two)
@@ -78,7 +85,7 @@ def occurrences(lm, places, copied: Counts):
                 ok[:-1] &= ok[1:]
                 ok[-1:] = False
             at = np.nonzero(ok)[0]
-            at = at[places.of(h[at]) >= PLACE_LEAST]
+            at = at[places.of(h[at]) >= least]
             if width == 2:
                 at = at[_rare(lm, s.sym, at)]
             if not at.size:
@@ -127,8 +134,8 @@ def learn(df: DataFrame, columns: list[tuple[str, list[Column]]], lm, places, co
         find = occurrences(*shared.value)
         held: dict[tuple[int, str], int] = {}
         for batch in batches:
-            for at in range(0, batch.num_rows, 4000):
-                part = batch.slice(at, 4000)
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
                 for i in range(fields):
                     for k, n in find(part.column(3 * i).to_pylist(), part.column(3 * i + 1).to_numpy(), part.column(3 * i + 2).to_numpy()).items():
                         held[k] = held.get(k, 0) + n
@@ -138,7 +145,8 @@ def learn(df: DataFrame, columns: list[tuple[str, list[Column]]], lm, places, co
         yield _batch(held)
 
     seen = picked.mapInArrow(run, "place BIGINT, sym STRING, n BIGINT").groupBy("place", "sym").agg((F.sum("n") / UNIT).alias("n"))
-    return judge(seen, lm)
+    # read four times
+    return judge(written(seen), lm)
 
 
 def _batch(held: dict[tuple[int, str], int]) -> pa.RecordBatch:
@@ -154,7 +162,7 @@ def judge(seen: DataFrame, lm) -> list[Confusion]:
     place = W.partitionBy("place")
     usual = F.max(F.struct("n", "sym")).over(place)
     at = seen.withColumn("usual", usual).withColumn("all", F.sum("n").over(place)).select("place", "sym", "n", F.col("usual.sym").alias("right"), F.col("usual.n").alias("most"), "all")
-    at = at.filter((F.col("most") >= PLACE_LEAST) & (F.col("most") >= USUAL * F.col("all")))
+    at = at.filter((F.col("most") >= place_least(lm)) & (F.col("most") >= USUAL * F.col("all")))
     rare = at.filter((F.col("sym") != F.col("right")) & (F.col("n") <= RARE * F.col("most")))
     # single Han characters and pairs of them for one; longer ones are words of letters
     han = F.col("right").rlike("^[㐀-鿿]$") & F.col("sym").rlike("^[㐀-鿿]{1,2}$") & ~F.contains("sym", "right")
