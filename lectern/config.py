@@ -1,4 +1,6 @@
-"""Every constant of the pipeline in one place."""
+"""Every constant of the pipeline in one place, and settings from the environment."""
+
+import os
 
 # sectioning and packing
 MAX_CHUNK = 800
@@ -16,11 +18,10 @@ WEIGHT_SEMANTIC, WEIGHT_KEYWORD = 1.0, 0.3
 MIN_HIT_CHARS = 100
 CONTEXT_CHARS = 2000
 EVAL_TOP_K = 8
+# Fixed value: what stands before a query that is encoded for retrieval.
+INSTRUCTION = "为这个句子生成表示以用于检索相关文章："
 
 # models behind boundaries
-ENCODE_BATCH = 32
-HYDE_TEMPERATURE, HYDE_TOKENS = 0.3, 200
-ANSWER_TEMPERATURE, ANSWER_TOKENS = 0.7, 2000
 RETRIES = 2
 PAGES_PER_SEGMENT = 100
 
@@ -33,3 +34,12 @@ SHORT_DOCUMENT = 10_000
 
 #: Queries, labels and catalog rows are broadcast only up to this many rows; larger ones go through a shuffle.
 BROADCAST_ROWS = 20_000
+
+
+def setting(name: str, role: str = "", default: str | None = None, environment: dict[str, str] | None = None) -> str | None:
+    """A setting: the role's own variable (ROLE_NAME), else the shared one (NAME), else the default; blank ones don't count.
+
+    Read on the driver when a boundary is made; such values never stand in a plan.
+    """
+    held = os.environ if environment is None else environment
+    return next((v for v in (held.get(f"{role}_{name}".upper()) if role else None, held.get(name.upper())) if v and v.strip()), default)

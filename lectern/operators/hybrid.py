@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import config
 from ..functions.text import fixed, preview
+from ..session import small
 from . import bm25, vector
-from .plugins import Embedder, Reranker, code_point_embedding, extractive_answer
+from .plugins import Embedder, Reranker, code_point_embedding, extractive_answer, hyde
 
 # Words in a second heading that mark summaries and exercises.
 NOISE = "小结|习题|思考题"
@@ -58,39 +61,44 @@ def fuse(semantic: DataFrame, keyword: DataFrame, k: int, semantic_weight: float
     return both.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= k).drop("source", "rank")
 
 
-def search(chunks: DataFrame, queries: DataFrame, k: int = config.TOP_K, embedder: Embedder | None = None, reranker: Reranker | None = None, prefilter: bool = False, dedupe: bool = False, scope: str = "book", embedding: str | None = None) -> DataFrame:
-    """The k best chunks of each query and book: query_id, book_name, key, method, similarity, final_score, place, [rerank_score].
+def search(chunks: DataFrame, queries: DataFrame, k: int = config.TOP_K, embedder: Embedder | None = None, reranker: Reranker | None = None, prefilter: bool = False, dedupe: bool = False, scope: str = "book", embedding: str | None = None, write: Callable[[Column], Column] | None = None, instruction: str = "") -> DataFrame:
+    """The best chunks of each query and book: query_id, book_name, key, method, similarity, final_score, place, [rerank_score].
 
     chunks: row_id, book_name, content, section_h2, char_count, [embedding]. queries: query_id, query, book_name (null: all
     books, each searched by itself). The vector branch fetches three times the candidates and filters them afterwards,
-    or filters first with prefilter. scope='all' ranks over all books at the end.
+    or filters first with prefilter. It encodes the query after the instruction, or the passage that `write` makes of it.
+    scope='book' gives k chunks of each query and book. scope='all' gives k chunks of each query: those of its book, or,
+    where it names none, the best of max(1, k // 2) chunks of each book.
     """
-    candidates = k * config.OVERFETCH_RERANK if reranker else k
+    asked = hyde(queries.select("query_id", "query", "book_name"), write, instruction)
+    free = F.col("book_name").isNull()
+    per_book = F.when(free, F.lit(max(1, k // 2))).otherwise(F.lit(k)) if scope == "all" else F.lit(k)
+    times = config.OVERFETCH_RERANK if reranker else 1
+    limits = queries.select("query_id", per_book.alias("per_book"), free.alias("free"))
+    limits = F.broadcast(limits) if small(limits) else limits
     embed = embedder or code_point_embedding()
     held = chunks.withColumnRenamed("row_id", "key")
-    with_vectors = held.select("key", "book_name", (F.col(embedding) if embedding else embed(F.col("content"))).alias("embedding"), "section_h2", "char_count").filter("book_name IS NOT NULL")
+    with_vectors = held.select("key", "book_name", (F.col(embedding) if embedding else embed(F.col("content"))).alias("embedding"), F.coalesce(informative(), F.lit(False)).alias("informative")).filter("book_name IS NOT NULL")
     if prefilter:
-        with_vectors = with_vectors.filter(informative())
-    asked = queries.select("query_id", "book_name", embed(F.col("query")).alias("embedding"))
-    near = vector.nearest(with_vectors, asked, candidates * config.OVERFETCH_VECTOR, "key", "embedding", "book_name", query_group="book_name")
-    if not prefilter:
-        near = near.join(held.select("key", "section_h2", "char_count"), "key").filter(informative())
+        with_vectors = with_vectors.filter("informative")
+    near = vector.nearest(with_vectors, asked.select("query_id", "book_name", embed(F.col("query_text")).alias("embedding")), k * times * config.OVERFETCH_VECTOR, "key", "embedding", "book_name", query_group="book_name", carry=("informative",))
+    near = near.join(limits, "query_id").filter(F.col("informative") & (F.col("rank") <= F.col("per_book") * times * config.OVERFETCH_VECTOR))
     index = bm25.build(held, "book_name", "key", "content")
     words = queries.select("query_id", F.col("book_name").alias("grp"), bm25.tokens(F.col("query")).alias("words"))
-    key_hits = bm25.top(index, words, candidates).withColumnRenamed("grp", "book_name")
-    key_hits = key_hits.withColumn("similarity", F.col("score") * config.BM25_SCALE)
-    hits = fuse(near, key_hits, candidates, dedupe=dedupe)
+    key_hits = bm25.top(index, words, k * times).withColumnRenamed("grp", "book_name")
+    key_hits = key_hits.join(limits, "query_id").filter(F.col("rank") <= F.col("per_book") * times).withColumn("similarity", F.col("score") * config.BM25_SCALE)
+    hits = fuse(near, key_hits, k * times, dedupe=dedupe).join(limits, "query_id").filter(F.col("place") <= F.col("per_book") * times)
+    order = F.desc("final_score")
     if reranker:
-        texts = held.select("key", "content")
-        scored = hits.join(texts, "key").join(queries.select("query_id", "query"), "query_id").withColumn("rerank_score", F.round(reranker(F.col("query"), F.col("content")), 9)).drop("content", "query")
+        # as many hits as queries and books have places
+        few = small(bm25.by_group(index, words).select("query_id"), config.BROADCAST_ROWS // (k * times))
+        scored = held.select("key", "content").join(F.broadcast(hits) if few else hits, "key").join(queries.select("query_id", "query"), "query_id").withColumn("rerank_score", F.round(reranker(F.col("query"), F.col("content")), 9)).drop("content", "query")
         place = W.partitionBy("query_id", "book_name").orderBy(F.desc("rerank_score"), "place")
-        hits = scored.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= k)
+        hits, order = scored.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= F.col("per_book")), F.desc("rerank_score")
     if scope == "all":
-        per_book = max(1, k // 2)
-        order = F.desc("rerank_score") if reranker else F.desc("final_score")
         place = W.partitionBy("query_id").orderBy(order, "place", "book_name", "key", "method")
-        hits = hits.filter(F.col("place") <= per_book).withColumn("place", F.row_number().over(place)).filter(F.col("place") <= k)
-    return hits
+        hits = hits.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= k)
+    return hits.drop("per_book", "free")
 
 
 def block(place: Column, similarity: Column, method: Column, book: Column, chapter: Column, h2: Column, content: Column) -> Column:
@@ -119,20 +127,37 @@ def prompt(query: Column, context: Column) -> Column:
     return F.concat(F.lit(SYSTEM), F.lit("\n\n## 学生问题\n"), query, F.lit("\n\n## 相关教材内容\n"), context, F.lit("\n\n请开始你的回答：\n"))
 
 
-def ask(chunks: DataFrame, queries: DataFrame, k: int = config.TOP_K, limit: int = config.CONTEXT_CHARS, **how) -> DataFrame:
-    """query_id, query, hits, context, prompt, answer, success: retrieval, context, prompt and an extractive answer.
+def with_texts(chunks: DataFrame, hits: DataFrame, few: bool) -> DataFrame:
+    """The hits with their texts. few: whether the hits are known to be few enough to broadcast; texts then stay where they are."""
+    texts = chunks.select(F.col("row_id").alias("key"), "chapter", "section_h2", "content")
+    return texts.join(F.broadcast(hits) if few else hits, "key")
+
+
+#: The columns of a hit in the answers of ask().
+HIT = ("place", "book_name", "key", "method", "similarity", "final_score", "chapter", "section_h2", "content")
 
-    Queries without a hit have an empty context and an unsuccessful answer.
+
+def ask(chunks: DataFrame, queries: DataFrame, k: int = config.TOP_K, limit: int = config.CONTEXT_CHARS, answerer: Callable[[DataFrame], DataFrame] | None = None, **how) -> DataFrame:
+    """query_id, query, hits, context, prompt, answer, model, tokens, sources, success.
+
+    Retrieval, context, prompt and answer. hits: an array of structs in order; sources: the chapters of the first three.
+    answerer: adds llm_response to a table with prompt and context, such as plugins.generate; by default the beginning
+    of the context is the answer. Queries without a hit have an empty context and prompt and an unsuccessful answer, and
+    aren't sent to the answerer.
     """
-    hits = search(chunks, queries, k, scope="all", **how).drop("embedding")
-    texts = chunks.select(F.col("row_id").alias("key"), "chapter", "section_h2", "content")
-    blocks = hits.join(texts, "key").withColumn("block", block(F.col("place"), F.col("similarity"), F.col("method"), F.col("book_name"), F.col("chapter"), F.col("section_h2"), F.col("content")))
-    packed = pack_context(blocks)
-    found = hits.groupBy("query_id").agg(F.count("*").alias("hits"))
-    out = queries.select("query_id", "query").join(packed, "query_id", "left").join(found, "query_id", "left")
-    out = out.withColumn("context", F.coalesce("context", F.lit(""))).withColumn("prompt", prompt(F.col("query"), F.col("context")))
-    out = out.withColumn("response", extractive_answer(F.col("prompt"), F.col("context")))
-    return out.select("query_id", "query", F.coalesce("hits", F.lit(0)).alias("hits"), "context", "prompt", F.col("response.answer").alias("answer"), F.col("response.success").alias("success"))
+    hits = search(chunks, queries, k, scope="all", **how)
+    blocks = with_texts(chunks, hits, small(queries, config.BROADCAST_ROWS // k)).withColumn("block", block(F.col("place"), F.col("similarity"), F.col("method"), F.col("book_name"), F.col("chapter"), F.col("section_h2"), F.col("content")))
+    ordered = F.array_sort(F.collect_list(F.struct(*HIT)))
+    found = blocks.groupBy("query_id").agg(ordered.alias("hits"))
+    sources = F.transform(F.slice("hits", 1, 3), lambda h: F.concat_ws(" > ", h["book_name"], F.nullif(h["chapter"], F.lit("")), F.nullif(h["section_h2"], F.lit(""))))
+    packed = pack_context(blocks).join(found, "query_id").join(queries.select("query_id", "query"), "query_id")
+    ready = packed.select("query_id", "hits", "context", prompt(F.col("query"), F.col("context")).alias("prompt"), sources.alias("sources"))
+    answered = answerer(ready) if answerer else ready.withColumn("llm_response", extractive_answer(F.col("prompt"), F.col("context")))
+    answered = answered.select("query_id", "hits", "context", "prompt", "sources", F.col("llm_response.answer").alias("answer"), F.col("llm_response.model").alias("model"), F.col("llm_response.tokens").alias("tokens"), F.col("llm_response.success").alias("success"))
+    out = queries.select("query_id", "query").join(answered, "query_id", "left")
+    blank = F.lit("")
+    none = F.array().cast(answered.schema["hits"].dataType)
+    return out.select("query_id", "query", F.coalesce("hits", none).alias("hits"), F.coalesce("context", blank).alias("context"), F.coalesce("prompt", blank).alias("prompt"), "answer", "model", "tokens", "sources", F.coalesce("success", F.lit(False)).alias("success"))
 
 
 def answer(chunks: DataFrame, queries: DataFrame, k: int = config.TOP_K, **how) -> DataFrame:

@@ -66,13 +66,24 @@ def verdict_share(verdicts: Column) -> Column:
     return F.when(F.size(verdicts) > 0, F.size(F.filter(verdicts, lambda x: x)) / F.size(verdicts))
 
 
+def supported(claims: Column, context: Column) -> Column:
+    """A verdict for each sentence of a text: whether the context holds at least half of its distinct tokens.
+
+    Stands where a judging model would. Sentences without a token have no verdict; null where either text is null.
+    """
+    held = F.array_distinct(tokens(context))
+    sentences = F.filter(F.transform(F.regexp_extract_all(claims, F.lit("[^。！？\n]+"), F.lit(0)), lambda s: F.array_distinct(tokens(s))), lambda t: F.size(t) > 0)
+    return F.when(context.isNotNull(), F.transform(sentences, lambda t: F.size(F.array_intersect(t, held)) * 2 >= F.size(t)))
+
+
 def mean_similarity(a: Column, vectors: Column) -> Column:
     """Mean cosine of a vector and those of an array: relevancy of an answer by questions made from it."""
 
     def dot(x: Column, y: Column) -> Column:
         return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
-    each = F.transform(vectors, lambda v: dot(a, v) / F.sqrt(dot(a, a) * dot(v, v)))
+    # a vector of zeros is like nothing
+    each = F.transform(vectors, lambda v: F.coalesce(dot(a, v) / F.nullif(F.sqrt(dot(a, a) * dot(v, v)), F.lit(0.0)), F.lit(0.0)))
     return F.aggregate(each, F.lit(0.0), lambda s, v: s + v) / F.size(vectors)
 
 

@@ -89,6 +89,11 @@ def generate(df: DataFrame, client: Callable[[], Callable[[str], str]], prompt:
     return df.mapInPandas(run, target)
 
 
+def framed_passage(query: Column) -> Column:
+    """The query in the frame of a textbook sentence; stands where a language model would write a passage."""
+    return F.concat(F.lit("教材中对此的说明如下："), query, F.lit("。"))
+
+
 def hyde(queries: DataFrame, write: Callable[[Column], Column] | None = None, instruction: str = "") -> DataFrame:
     """Adds query_text, what is encoded: a hypothetical passage once a distinct query, else the query after the instruction.
 

@@ -81,3 +81,9 @@ def overall_grade(chunks: DataFrame, issues: str = "issues") -> DataFrame:
 def label_histogram(df: DataFrame, label: str) -> DataFrame:
     """Labels by how often they occur, most first."""
     return df.groupBy(label).agg(F.count("*").alias("count")).orderBy(F.desc("count"), label)
+
+
+def throughput(rows: Column, seconds: Column) -> Column:
+    """A struct of seconds, seconds a row and rows a second; null rates without rows or time."""
+    per_row = seconds / F.nullif(rows, F.lit(0))
+    return F.struct(seconds.alias("seconds"), per_row.alias("seconds_per_row"), (rows / F.nullif(seconds, F.lit(0.0))).alias("rows_per_second"))

@@ -166,7 +166,7 @@ ISSUES = f"""(SELECT row_id, list_filter([
   CASE WHEN has_code AND regexp_matches(content, '(?s)```.*?```') AND length(regexp_extract(content, '(?s)```.*?```')) < {config.EMPTY_CODE} THEN 'empty_code' END], lambda x: x IS NOT NULL) AS issues FROM chunks)"""
 STATUS = "CASE WHEN {0} < 5 THEN 'excellent' WHEN {0} < 15 THEN 'good' ELSE 'poor' END"
 # isnan() is folded away there by column statistics that leave NaN out; the text of the number isn't
-SCORES = "(SELECT pair_id::BIGINT AS pair_id, " + ", ".join(f"nullif({m}::VARCHAR, 'nan')::DOUBLE AS {m}" for m in ("faithfulness", "context_precision", "answer_relevancy", "context_recall")) + " FROM eval_scores WHERE pair_id IS NOT NULL)"
+SCORES = "(SELECT pair_id::BIGINT AS pair_id, " + ", ".join(f"nullif({m}::VARCHAR, 'nan')::DOUBLE AS {m}" for m in ("faithfulness", "context_precision", "answer_relevancy", "context_recall")) + " FROM eval_scores)"
 LONG = "(" + " UNION ALL ".join(f"SELECT pair_id, '{m}' AS metric, {m} AS score FROM {SCORES}" for m in ("faithfulness", "context_precision", "answer_relevancy", "context_recall")) + ")"
 VEC = "(SELECT vec_id, label, list_transform(embedding, lambda v: v::DOUBLE) AS v FROM embeddings)"
 SIMS = f"(SELECT a.vec_id AS query_id, b.vec_id, b.label, round(list_inner_product(a.v, b.v) / (sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(b.v, b.v))), 6) + 0.0 AS similarity FROM {VEC} a, {VEC} b WHERE a.vec_id % 20 = 0)"
@@ -176,7 +176,11 @@ def knn(source: str, k: int, parts: str = "query_id") -> str:
     return f"SELECT query_id, vec_id, similarity, row_number() OVER (PARTITION BY {parts} ORDER BY similarity DESC, vec_id)::INT AS rank FROM {source} QUALIFY rank <= {k}"
 
 
-ASKED = "asked AS (SELECT question_id AS query_id, min(question) AS query, min(book_name) AS book_name FROM eval_questions WHERE question_id % 20 = 0 AND question IS NOT NULL GROUP BY 1)"
+def asked(per_book: str) -> str:
+    """The questions asked; c: how many chunks each takes from a book."""
+    return f"asked AS (SELECT *, {per_book} AS c FROM (SELECT question_id AS query_id, min(question) AS query, min(book_name) AS book_name FROM eval_questions WHERE question_id % 20 = 0 AND question IS NOT NULL GROUP BY 1))"
+
+
 BM25 = f"""
 t AS (SELECT book_name AS grp, row_id, regexp_extract_all(content, {q(TOKEN)}) AS w FROM chunks WHERE content IS NOT NULL AND book_name IS NOT NULL),
 dl AS (SELECT grp, row_id, len(w) AS dl FROM t),
@@ -188,9 +192,9 @@ idf AS (SELECT grp, term, df, CASE WHEN raw < 0 THEN 0.25::DOUBLE * m ELSE raw E
 """
 
 
-def scored(scoped: bool, digits: int = 6) -> str:
+def scored(scoped: bool, digits: int = 6, per_book: str = str(config.TOP_K)) -> str:
     match = "(book_name IS NULL OR book_name = grp)" if scoped else "TRUE"
-    return f"""{BM25}, {ASKED},
+    return f"""{BM25}, {asked(per_book)},
 qt AS (SELECT query_id, book_name, term, count(*) AS times FROM (SELECT query_id, book_name, unnest(regexp_extract_all(query, {q(TOKEN)})) AS term FROM asked) GROUP BY ALL),
 sc AS (SELECT query_id, grp, row_id, round(sum(times * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), {digits}) AS score
   FROM qt JOIN idf USING (term) JOIN tf USING (grp, term) JOIN dl USING (grp, row_id) JOIN gs USING (grp) WHERE {match} GROUP BY ALL),
@@ -200,31 +204,65 @@ al AS (SELECT query_id, grp, row_id, coalesce(score, 0.0::DOUBLE) AS score FROM
 NOISY = f"(regexp_matches(coalesce(section_h2, ''), {q(hybrid.NOISE)}) OR coalesce(char_count, 0) <= {config.MIN_HIT_CHARS})"
 
 
-def fused(prefilter: bool = False, dedupe: bool = False) -> str:
-    """Both branches of the hybrid search, weighted."""
-    k = config.TOP_K
+BAG = "(SELECT {id}, b, count(*)::DOUBLE AS n FROM (SELECT {id}, unicode(unnest(regexp_extract_all({text}, '[一-鿿a-zA-Z]'))) % 64 AS b FROM {table}) GROUP BY ALL)"
+
+
+def fused(prefilter: bool = False, dedupe: bool = False, per_book: str = str(config.TOP_K), times: int = 1, query: str = "query") -> str:
+    """Both branches of the hybrid search, weighted. per_book: chunks that a question takes from a book; times: candidates for each; query: what is encoded."""
     where = f"AND NOT {NOISY}" if prefilter else ""
-    bag = "(SELECT {id}, b, count(*)::DOUBLE AS n FROM (SELECT {id}, unicode(unnest(regexp_extract_all({text}, '[一-鿿a-zA-Z]'))) % 64 AS b FROM {table}) GROUP BY ALL)"
     once = "QUALIFY row_number() OVER (PARTITION BY query_id, book_name, row_id ORDER BY final_score DESC, source, rank) = 1" if dedupe else ""
-    return f"""WITH {scored(True, 9)},
-kw AS (SELECT query_id, grp AS book_name, row_id, score * {config.BM25_SCALE}::DOUBLE AS similarity, row_number() OVER (PARTITION BY query_id, grp ORDER BY score DESC, row_id) AS rank FROM al QUALIFY rank <= {k}),
-cv AS {bag.format(id="row_id", text="content", table="chunks")}, qv AS {bag.format(id="query_id", text="query", table="asked")},
+    return f"""WITH {scored(True, 9, per_book)},
+kw AS (SELECT query_id, grp AS book_name, row_id, score * {config.BM25_SCALE}::DOUBLE AS similarity, c, row_number() OVER (PARTITION BY query_id, grp ORDER BY score DESC, row_id) AS rank FROM al JOIN (SELECT query_id, c FROM asked) USING (query_id) QUALIFY rank <= c * {times}),
+cv AS {BAG.format(id="row_id", text="content", table="chunks")}, qv AS {BAG.format(id="query_id", text=query, table="asked")},
 cn AS (SELECT row_id, sqrt(sum(n * n)) AS l FROM cv GROUP BY 1), qn AS (SELECT query_id, sqrt(sum(n * n)) AS l FROM qv GROUP BY 1),
 dp AS (SELECT query_id, row_id, sum(qv.n * cv.n) AS d FROM qv JOIN cv USING (b) GROUP BY ALL),
-sm AS (SELECT a.query_id, c.book_name, c.row_id, c.section_h2, c.char_count, round(coalesce(d / (qn.l * cn.l), 0.0::DOUBLE), 6) AS similarity
+sm AS (SELECT a.query_id, a.c, c.book_name, c.row_id, c.section_h2, c.char_count, round(coalesce(d / (qn.l * cn.l), 0.0::DOUBLE), 6) AS similarity
   FROM asked a JOIN chunks c ON c.book_name IS NOT NULL AND (a.book_name IS NULL OR a.book_name = c.book_name) {where} LEFT JOIN dp ON dp.query_id = a.query_id AND dp.row_id = c.row_id LEFT JOIN qn ON qn.query_id = a.query_id LEFT JOIN cn ON cn.row_id = c.row_id),
-sr AS (SELECT *, row_number() OVER (PARTITION BY query_id, book_name ORDER BY similarity DESC, row_id) AS rank FROM sm QUALIFY rank <= {k * config.OVERFETCH_VECTOR}),
-se AS (SELECT query_id, book_name, row_id, similarity, rank FROM sr WHERE NOT {NOISY}),
-un AS (SELECT query_id, book_name, row_id, 'embedding' AS method, round(similarity, 9) AS final_score, 0 AS source, rank FROM se
-  UNION ALL SELECT query_id, book_name, row_id, 'bm25', round(similarity * {config.WEIGHT_KEYWORD}::DOUBLE, 9), 1, rank FROM kw),
+sr AS (SELECT *, row_number() OVER (PARTITION BY query_id, book_name ORDER BY similarity DESC, row_id) AS rank FROM sm QUALIFY rank <= c * {times * config.OVERFETCH_VECTOR}),
+se AS (SELECT query_id, book_name, row_id, similarity, c, rank FROM sr WHERE NOT {NOISY}),
+un AS (SELECT query_id, book_name, row_id, 'embedding' AS method, similarity, c, round(similarity, 9) AS final_score, 0 AS source, rank FROM se
+  UNION ALL SELECT query_id, book_name, row_id, 'bm25', similarity, c, round(similarity * {config.WEIGHT_KEYWORD}::DOUBLE, 9), 1, rank FROM kw),
 on1 AS (SELECT * FROM un {once}),
-fu AS (SELECT query_id, book_name, row_id, method, final_score, row_number() OVER (PARTITION BY query_id, book_name ORDER BY final_score DESC, source, rank, book_name, row_id)::INT AS place FROM on1 QUALIFY place <= {k})"""
+fu AS (SELECT query_id, book_name, row_id, method, similarity, final_score, row_number() OVER (PARTITION BY query_id, book_name ORDER BY final_score DESC, source, rank, book_name, row_id)::INT AS place FROM on1 QUALIFY place <= c * {times})"""
 
 
-FUSION = "SELECT query_id, book_name, row_id, method, round(final_score, 6) AS final_score, place AS rank FROM fu"
-BLOCK = "chr(10) || '【参考资料 ' || place || '】（相似度: 0.500 | 方法: embedding）' || chr(10) || ' 教材: ' || coalesce(book_name, '') || chr(10) || ' 章节: ' || coalesce(chapter, '') || ' - ' || coalesce(section_h2, '') || chr(10) || ' 内容:' || chr(10) || coalesce(content, '') || chr(10) || '---' || chr(10)"
+def crossed(k: int) -> str:
+    """The k best chunks of each question: those of its own book, or of half as many from each book where it names none."""
+    return fused(per_book=f"CASE WHEN book_name IS NULL THEN {max(1, k // 2)} ELSE {k} END") + f""",
+cb AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, place, book_name, row_id, method)::INT AS r FROM fu QUALIFY r <= {k})"""
+
+
+def blocks(similarity: str, method: str) -> str:
+    return f"chr(10) || '【参考资料 ' || place || '】（相似度: ' || {similarity} || ' | 方法: ' || {method} || '）' || chr(10) || ' 教材: ' || coalesce(book_name, '') || chr(10) || ' 章节: ' || coalesce(chapter, '') || ' - ' || coalesce(section_h2, '') || chr(10) || ' 内容:' || chr(10) || coalesce(content, '') || chr(10) || '---' || chr(10)"
+
 
+def prompted(query: str, context: str) -> str:
+    return f"{q(hybrid.SYSTEM)} || {q(chr(10) * 2 + '## 学生问题' + chr(10))} || {query} || {q(chr(10) * 2 + '## 相关教材内容' + chr(10))} || {context} || {q(chr(10) * 2 + '请开始你的回答：' + chr(10))}"
 
+
+#: The answers, one a question.
+ANSWERS = crossed(config.TOP_K) + f""",
+hb AS (SELECT cb.query_id, r AS place, cb.book_name, row_id, method, chapter, chunks.section_h2, content, printf('%.3f', round(similarity, 3)) AS shown FROM cb JOIN chunks USING (row_id)),
+bl AS (SELECT *, {blocks("shown", "method")} AS block FROM hb),
+rn AS (SELECT *, sum(length(block)) OVER (PARTITION BY query_id ORDER BY place) <= {config.CONTEXT_CHARS} AS fits FROM bl),
+cx AS (SELECT query_id, coalesce(string_agg(block, '' ORDER BY place) FILTER (fits), '') || CASE WHEN bool_and(fits) THEN '' ELSE {q(hybrid.CUT)} END AS context, string_agg(concat_ws(':', place, book_name, row_id, method), '|' ORDER BY place) AS hits,
+  string_agg(concat_ws(' > ', book_name, nullif(chapter, ''), nullif(section_h2, '')), '|' ORDER BY place) FILTER (place <= 3) AS sources FROM rn GROUP BY query_id),
+an AS (SELECT a.query_id, coalesce(hits, '') AS hits, coalesce(context, '') AS context, CASE WHEN context IS NULL THEN '' ELSE {prompted("query", "context")} END AS prompt,
+  CASE WHEN trim(context) <> '' THEN substr(context, 1, 200) END AS answer, CASE WHEN context IS NOT NULL THEN 'extractive' END AS model, context IS NOT NULL AS found, sources, coalesce(trim(context) <> '', false) AS success FROM asked a LEFT JOIN cx USING (query_id))"""
+
+
+def verdicts(claims: str, context: str) -> str:
+    """The share of a text's sentences that another one bears out."""
+    has = f"regexp_extract_all({context}, {q(TOKEN)})"
+    sentences = f"list_filter(list_transform(regexp_extract_all({claims}, '[^。！？\n]+'), lambda s: list_distinct(regexp_extract_all(s, {q(TOKEN)}))), lambda t: len(t) > 0)"
+    return f"(SELECT pair_id, list_transform({sentences}, lambda t: len(list_intersect(t, {has})) * 2 >= len(t)) AS v FROM qa_comparison)"
+
+
+def share(name: str, claims: str, context: str) -> str:
+    return f"SELECT pair_id, CASE WHEN {context} IS NOT NULL AND len(v) > 0 THEN round(len(list_filter(v, lambda x: x))::DOUBLE / len(v), 6) END AS {name} FROM {verdicts(claims, context)} JOIN qa_comparison USING (pair_id)"
+
+
+FUSION = "SELECT query_id, book_name, row_id, method, round(final_score, 6) AS final_score, place AS rank FROM fu"
 def oracle_sql() -> dict[str, str]:
     k = config.TOP_K
     stats = ", ".join(f"{found(SPACED, rf'(?m)^#{{{n}}} ')} AS h{n}" for n in (1, 2, 3, 4))
@@ -237,7 +275,7 @@ def oracle_sql() -> dict[str, str]:
         "sentence_pack": f"WITH p AS (SELECT row_id, {pieces('content')} AS l FROM chunks WHERE length(content) > {config.MAX_CHUNK}) SELECT row_id, (generate_subscripts(l, 1) - 1)::INT AS piece, unnest(l) AS text FROM p",
         "section_chunks": SPLIT + "SELECT doc_id, ordinal, chunk_id, content, char_count, has_code, has_image FROM f",
         "chunk_documents": SPLIT + ", " + merged("f", CHUNK) + " SELECT doc_id, " + ", ".join(f"y.{c} AS {c}" for c in CHUNK) + " FROM m",
-        "small_merge": "WITH f AS (SELECT stem AS doc_id, row_id::INT AS ordinal, chunk_id, content, length(content)::INT AS char_count, has_code, has_image FROM chunks WHERE stem IS NOT NULL AND content IS NOT NULL), " + merged("f", SMALL) + " SELECT doc_id, " + ", ".join(f"y.{c} AS {c}" for c in SMALL) + " FROM m",
+        "small_merge": "WITH f AS (SELECT stem AS doc_id, row_id AS ordinal, chunk_id, content, length(content)::INT AS char_count, has_code, has_image FROM chunks WHERE stem IS NOT NULL AND content IS NOT NULL), " + merged("f", SMALL) + " SELECT doc_id, " + ", ".join(f"y.{c} AS {c}" for c in SMALL) + " FROM m",
         "chunk_stats": "SELECT count(*) AS chunks, coalesce(sum(char_count), 0)::BIGINT AS chars, round(coalesce(avg(char_count), 0.0), 6) AS mean_chars, count(*) FILTER (has_code) AS with_code, count(*) FILTER (has_image) AS with_image FROM chunks",
         "chunk_level_hist": "SELECT level, count(*) AS chunks FROM chunks GROUP BY level",
         "chunk_flags": "SELECT row_id, contains(content, '```') AS code, (contains(content, '📷') OR contains(content, '[图片]')) AS image FROM chunks",
@@ -264,10 +302,27 @@ def oracle_sql() -> dict[str, str]:
         "hybrid_fusion": fused() + FUSION,
         "hybrid_dedupe": fused(dedupe=True) + FUSION,
         "hybrid_prefilter": fused(prefilter=True) + FUSION,
-        "hybrid_cross_book": fused() + f", cb AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, place, book_name, row_id, method)::INT AS r FROM fu WHERE place <= {max(1, k // 2)} QUALIFY r <= {k}) SELECT query_id, book_name, row_id, method, round(final_score, 6) AS final_score, r AS rank FROM cb",
-        "context_pack": f"WITH o AS (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY row_id) AS place FROM chunks WHERE stem IS NOT NULL), b AS (SELECT stem, place, {BLOCK} AS block FROM o), r AS (SELECT *, sum(length(block)) OVER (PARTITION BY stem ORDER BY place) <= {config.CONTEXT_CHARS} AS fits FROM b), c AS (SELECT stem, coalesce(string_agg(block, '' ORDER BY place) FILTER (fits), '') || CASE WHEN bool_and(fits) THEN '' ELSE {q(hybrid.CUT)} END AS context, count(*) FILTER (fits) AS used FROM r GROUP BY stem) SELECT stem, md5(context) AS context_md5, length(context)::INT AS chars, used::INT AS used FROM c",
-        "prompt_build": f"SELECT pair_id, md5({q(hybrid.SYSTEM)} || {q(chr(10) * 2 + '## 学生问题' + chr(10))} || coalesce(question, '') || {q(chr(10) * 2 + '## 相关教材内容' + chr(10))} || coalesce(ground_truth, '') || {q(chr(10) * 2 + '请开始你的回答：' + chr(10))}) AS prompt_md5 FROM qa_comparison",
+        "hybrid_cross_book": crossed(k) + " SELECT query_id, book_name, row_id, method, round(final_score, 6) AS final_score, r AS rank FROM cb",
+        "hybrid_instruction": fused(query=f"{q(config.INSTRUCTION)} || query") + FUSION,
+        "hybrid_hyde": fused(query="'教材中对此的说明如下：' || query || '。'") + FUSION,
+        "hybrid_rerank": fused(times=config.OVERFETCH_RERANK) + f", t2 AS (SELECT fu.*, list_distinct(regexp_extract_all(query, {q(TOKEN)})) AS qw, regexp_extract_all(content, {q(TOKEN)}) AS tw FROM fu JOIN (SELECT query_id, query FROM asked) USING (query_id) JOIN (SELECT row_id, content FROM chunks) USING (row_id)), s2 AS (SELECT *, round(CASE WHEN len(qw) > 0 THEN len(list_intersect(qw, tw))::DOUBLE / len(qw) ELSE 0 END, 9) AS s FROM t2) SELECT query_id, book_name, row_id, method, round(s, 6) AS rerank_score, row_number() OVER (PARTITION BY query_id, book_name ORDER BY s DESC, place)::INT AS rank FROM s2 QUALIFY rank <= {k}",
+        "ask": ANSWERS + " SELECT query_id, hits, md5(context) AS context_md5, md5(prompt) AS prompt_md5, answer, model, CASE WHEN found THEN (length(prompt) + least(length(context), 200))::INT END AS tokens, sources, success FROM an",
+        "answers_kept": ANSWERS + " SELECT query_id, answer FROM an WHERE success",
+        "answers_aside": ANSWERS + " SELECT query_id FROM an WHERE NOT success",
+        "eval_dataset": crossed(config.EVAL_TOP_K) + ", x AS (SELECT cb.query_id, string_agg('[' || cb.book_name || ' - ' || coalesce(chapter, '') || ' - ' || coalesce(chunks.section_h2, '') || ']' || chr(10) || coalesce(content, ''), chr(10) || chr(10) ORDER BY r) AS t, count(*)::INT AS n FROM cb JOIN chunks USING (row_id) GROUP BY 1), g AS (SELECT question_id AS query_id, min(ground_truth) AS ground_truth FROM eval_questions GROUP BY 1) SELECT query_id, query, book_name, ground_truth, coalesce(n, 0) AS contexts, md5(coalesce(t, '')) AS contexts_md5 FROM asked LEFT JOIN x USING (query_id) LEFT JOIN g USING (query_id)",
+        "eval_baseline": f"WITH {asked('1')}, g AS (SELECT question_id AS query_id, min(ground_truth) AS ground_truth FROM eval_questions GROUP BY 1) SELECT query_id, query, ground_truth, 1 AS contexts, '' AS text FROM asked LEFT JOIN g USING (query_id)",
+        "faithfulness": share("faithfulness", "answer", "ground_truth"),
+        "context_recall": share("context_recall", "ground_truth", "answer"),
+        "answer_relevancy": f"WITH p AS (SELECT * FROM qa_comparison WHERE question IS NOT NULL AND answer IS NOT NULL), a AS {BAG.format(id='pair_id', text='question', table='p')}, b AS {BAG.format(id='pair_id', text='answer', table='p')}, d AS (SELECT pair_id, sum(a.n * b.n) AS d FROM a JOIN b USING (pair_id, b) GROUP BY 1), la AS (SELECT pair_id, sum(n * n) AS l FROM a GROUP BY 1), lb AS (SELECT pair_id, sum(n * n) AS l FROM b GROUP BY 1) SELECT pair_id, round(coalesce(d / sqrt(la.l * lb.l), 0.0::DOUBLE), 6) AS answer_relevancy FROM p LEFT JOIN d USING (pair_id) LEFT JOIN la USING (pair_id) LEFT JOIN lb USING (pair_id)",
+        "top_sources": crossed(k) + " SELECT query_id, r AS place, book_name, row_id FROM cb WHERE r <= 3",
+        "result_display": "SELECT row_id AS query_id, 1 AS place, '0.5000' AS similarity, 'embedding' AS method, book_name, coalesce(chapter, '') || ' | ' || coalesce(section_h2, '') AS section, CASE WHEN length(content) > 150 THEN substr(content, 1, 150) || '...' ELSE coalesce(content, '') END AS preview, concat_ws(' | ', CASE WHEN has_code THEN '💻 含代码' END, CASE WHEN has_image THEN '🖼️ 含图片' END) AS flags FROM chunks WHERE book_name IS NOT NULL",
+        "point_lookup": "SELECT row_id, book_name, chunk_id, md5(content) AS content_md5 FROM chunks WHERE row_id IN (SELECT question_id FROM eval_questions WHERE question_id % 20 = 0 AND question IS NOT NULL)",
+        "chunk_preview": "SELECT repeat('=', 80) || chr(10) || 'Chunk: ' || coalesce(chunk_id, '') || chr(10) || concat_ws(' > ', nullif(chapter, ''), nullif(section_h2, ''), nullif(section_h3, ''), nullif(section_h4, '')) || chr(10) || repeat('-', 80) || chr(10) || substr(coalesce(content, ''), 1, 500) || CASE WHEN length(content) > 500 THEN chr(10) || '... (内容已截断)' ELSE '' END AS text FROM chunks",
+        "messages": "SELECT pair_id, to_json([{'role': 'user', 'content': coalesce(question, '')}, {'role': 'assistant', 'content': coalesce(answer, '')}])::VARCHAR AS messages FROM qa_comparison",
+        "context_pack": f"WITH o AS (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY row_id) AS place FROM chunks WHERE stem IS NOT NULL), b AS (SELECT stem, place, {blocks("'0.500'", "'embedding'")} AS block FROM o), r AS (SELECT *, sum(length(block)) OVER (PARTITION BY stem ORDER BY place) <= {config.CONTEXT_CHARS} AS fits FROM b), c AS (SELECT stem, coalesce(string_agg(block, '' ORDER BY place) FILTER (fits), '') || CASE WHEN bool_and(fits) THEN '' ELSE {q(hybrid.CUT)} END AS context, count(*) FILTER (fits) AS used FROM r GROUP BY stem) SELECT stem, md5(context) AS context_md5, length(context)::INT AS chars, used::INT AS used FROM c",
+        "prompt_build": "SELECT pair_id, md5(" + prompted("coalesce(question, '')", "coalesce(ground_truth, '')") + ") AS prompt_md5 FROM qa_comparison",
         "collection_counts": "SELECT book_name, count(*) AS chunks FROM chunks WHERE book_name IS NOT NULL GROUP BY 1",
+        "load_throughput": "WITH s AS (SELECT book_name, count(*) AS chunks, (epoch_us(max(loaded_at)) - epoch_us(min(loaded_at)))::DOUBLE / 1e6 AS seconds FROM chunks WHERE book_name IS NOT NULL GROUP BY 1) SELECT book_name, chunks, round(seconds, 6) AS seconds, round(seconds / chunks, 6) AS seconds_per_row, round(chunks / nullif(seconds, 0), 6) AS rows_per_second FROM s",
         "collection_sample": "SELECT book_name, row_id, CASE WHEN length(content) > 80 THEN substr(content, 1, 80) || '...' ELSE content END AS preview FROM chunks WHERE book_name IS NOT NULL QUALIFY row_number() OVER (PARTITION BY book_name ORDER BY row_id) = 1",
         "catalog_list": "SELECT name, replace(name, 'textbook_', '') AS book_name FROM collections WHERE name LIKE 'textbook_%'",
         "catalog_with_all": "SELECT book_name FROM collections UNION ALL SELECT '全部教材'",

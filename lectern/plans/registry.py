@@ -97,7 +97,7 @@ def chunk_documents(spark, folder):
 def small_merge(spark, folder):
     """Merging over the stored chunks, a file a document, in order of loading."""
     rows = _chunks(spark, folder).filter("stem IS NOT NULL AND content IS NOT NULL").withColumn("char_count", F.length("content"))
-    rows = rows.select(F.col("stem").alias("doc_id"), F.col("row_id").cast("int").alias("ordinal"), "chunk_id", "chapter", "section_h2", "section_h3", "section_h4", "content", "level", "char_count", "has_code", "has_image")
+    rows = rows.select(F.col("stem").alias("doc_id"), F.col("row_id").alias("ordinal"), "chunk_id", "chapter", "section_h2", "section_h3", "section_h4", "content", "level", "char_count", "has_code", "has_image")
     return packing.merge_small(rows).select("doc_id", "ordinal", "chunk_id", "content", "char_count", "has_code", "has_image")
 
 
@@ -145,7 +145,8 @@ def label_histogram(spark, folder):
 
 
 def _scores(spark, folder):
-    return table(spark, folder, "eval_scores").filter("pair_id IS NOT NULL").select(F.col("pair_id").cast("bigint").alias("pair_id"), *metrics.METRICS)
+    """All scores, those without a pair too."""
+    return table(spark, folder, "eval_scores").select(F.col("pair_id").cast("bigint").alias("pair_id"), *metrics.METRICS)
 
 
 def metric_means(spark, folder):
@@ -163,7 +164,7 @@ def metric_grade(spark, folder):
 
 def metric_delta(spark, folder):
     runs = table(spark, folder, "qa_comparison").select("pair_id", (F.col("run_name") == "baseline").alias("base")).filter("base IS NOT NULL")
-    scored = _scores(spark, folder).join(runs, "pair_id")
+    scored = _scores(spark, folder).filter("pair_id IS NOT NULL").join(runs, "pair_id")
     ours, base = metrics.metric_means(scored.filter("NOT base")), metrics.metric_means(scored.filter("base"))
     both = metrics.compare(ours, base)
     return both.select("metric", *[F.round(c, 6).alias(c) for c in ("ours", "baseline", "delta")])
@@ -262,6 +263,16 @@ def hybrid_rerank(spark, folder):
     return found.select("query_id", "book_name", F.col("key").alias("row_id"), "method", F.round("rerank_score", 6).alias("rerank_score"), F.col("place").alias("rank"))
 
 
+def hybrid_instruction(spark, folder):
+    """The vector branch encodes the query after the instruction."""
+    return _found(spark, folder, instruction=config.INSTRUCTION).select("query_id", "book_name", F.col("key").alias("row_id"), "method", F.round("final_score", 6).alias("final_score"), F.col("place").alias("rank"))
+
+
+def hybrid_hyde(spark, folder):
+    """The vector branch encodes a hypothetical passage; here a frame around the query stands where a model would write one."""
+    return _found(spark, folder, write=plugins.framed_passage).select("query_id", "book_name", F.col("key").alias("row_id"), "method", F.round("final_score", 6).alias("final_score"), F.col("place").alias("rank"))
+
+
 def context_pack(spark, folder):
     """The chunks of each file in order, as far as they fit."""
     rows = _chunks(spark, folder).filter("stem IS NOT NULL")
@@ -278,21 +289,94 @@ def prompt_build(spark, folder):
 
 
 def ask(spark, folder):
-    return hybrid.ask(_chunks(spark, folder), asked(spark, folder))
+    out = hybrid.ask(_chunks(spark, folder), asked(spark, folder))
+    shown = F.transform("hits", lambda h: F.concat_ws(":", h["place"].cast("string"), h["book_name"], h["key"].cast("string"), h["method"]))
+    return out.select("query_id", F.coalesce(F.array_join(shown, "|"), F.lit("")).alias("hits"), F.md5("context").alias("context_md5"), F.md5("prompt").alias("prompt_md5"), "answer", "model", F.col("tokens.total").alias("tokens"), F.array_join("sources", "|").alias("sources"), "success")
+
+
+def answers_kept(spark, folder):
+    """The answers that succeeded."""
+    return hybrid.successful(hybrid.ask(_chunks(spark, folder), asked(spark, folder)))[0].select("query_id", "answer")
+
+
+def answers_aside(spark, folder):
+    """The questions whose answers failed, kept aside."""
+    return hybrid.successful(hybrid.ask(_chunks(spark, folder), asked(spark, folder)))[1].select("query_id")
+
+
+def _eval_hits(spark, folder):
+    questions = asked(spark, folder)
+    hits = hybrid.search(_chunks(spark, folder), questions, config.EVAL_TOP_K, scope="all")
+    return hybrid.with_texts(_chunks(spark, folder), hits, small(questions, config.BROADCAST_ROWS // config.EVAL_TOP_K))
+
+
+def _truths(spark, folder):
+    return table(spark, folder, "eval_questions").groupBy(F.col("question_id").alias("query_id")).agg(F.min("ground_truth").alias("ground_truth"))
 
 
 def eval_dataset(spark, folder):
     """Question, contexts and truth, as evaluation wants them."""
-    hits = hybrid.search(_chunks(spark, folder), asked(spark, folder), config.EVAL_TOP_K, scope="all")
-    texts = _chunks(spark, folder).select(F.col("row_id").alias("key"), "chapter", "section_h2", "content")
-    truths = table(spark, folder, "eval_questions").groupBy(F.col("question_id").alias("query_id")).agg(F.min("ground_truth").alias("ground_truth"))
-    return asked(spark, folder).join(metrics.contexts(hits.join(texts, "key")), "query_id", "left").join(truths, "query_id", "left")
+    found = metrics.contexts(_eval_hits(spark, folder))
+    out = asked(spark, folder).join(found, "query_id", "left").join(_truths(spark, folder), "query_id", "left")
+    return out.select("query_id", "query", "book_name", "ground_truth", F.coalesce(F.size("contexts"), F.lit(0)).alias("contexts"), F.md5(F.coalesce(F.array_join("contexts", "\n\n"), F.lit(""))).alias("contexts_md5"))
+
+
+def eval_baseline(spark, folder):
+    """The records of an evaluation without retrieval: one empty context each."""
+    out = metrics.baseline_contexts(asked(spark, folder)).join(_truths(spark, folder), "query_id", "left")
+    return out.select("query_id", "query", "ground_truth", F.size("contexts").alias("contexts"), F.array_join("contexts", "").alias("text"))
+
+
+def _verdict_pairs(spark, folder):
+    return table(spark, folder, "qa_comparison").select("pair_id", "question", "answer", "ground_truth")
+
+
+def faithfulness(spark, folder):
+    """The share of an answer's sentences whose tokens the truth holds at least by half; the truth stands for the context."""
+    verdicts = metrics.supported(F.col("answer"), F.col("ground_truth"))
+    return _verdict_pairs(spark, folder).select("pair_id", F.round(metrics.verdict_share(verdicts), 6).alias("faithfulness"))
+
+
+def context_recall(spark, folder):
+    """The share of the truth's sentences whose tokens the answer holds at least by half; the answer stands for the context."""
+    verdicts = metrics.supported(F.col("ground_truth"), F.col("answer"))
+    return _verdict_pairs(spark, folder).select("pair_id", F.round(metrics.verdict_share(verdicts), 6).alias("context_recall"))
+
+
+def answer_relevancy(spark, folder):
+    """The cosine of the question and the answer; the answer stands for the questions made from it."""
+    embed = plugins.code_point_embedding()
+    held = _verdict_pairs(spark, folder).filter("question IS NOT NULL AND answer IS NOT NULL").select("pair_id", embed(F.col("question")).alias("q"), embed(F.col("answer")).alias("a"))
+    return held.select("pair_id", F.round(metrics.mean_similarity(F.col("q"), F.array("a")), 6).alias("answer_relevancy"))
+
+
+def top_sources(spark, folder):
+    hits = _found(spark, folder, scope="all")
+    return hybrid.top_sources(hits).select("query_id", "place", "book_name", F.col("key").alias("row_id"))
+
+
+def result_display(spark, folder):
+    """The chunks of the questions' own books as hits of one kind, as they are shown."""
+    rows = _chunks(spark, folder).filter("book_name IS NOT NULL").select(F.col("row_id").alias("query_id"), F.lit(1).alias("place"), F.lit(0.5).alias("similarity"), F.lit("embedding").alias("method"), "book_name", "chapter", "section_h2", "content", "has_code", "has_image")
+    return hybrid.display(rows)
+
+
+def point_lookup(spark, folder):
+    """The chunks that are asked for by id: here the ids of the asked questions."""
+    return catalog.lookup(_chunks(spark, folder), asked(spark, folder).select(F.col("query_id").alias("row_id")), "row_id").select("row_id", "book_name", "chunk_id", F.md5("content").alias("content_md5"))
 
 
 def collection_counts(spark, folder):
     return catalog.counts(_chunks(spark, folder).filter("book_name IS NOT NULL"))
 
 
+def load_throughput(spark, folder):
+    """Chunks loaded in each book, between its first and its last load."""
+    spans = _chunks(spark, folder).filter("book_name IS NOT NULL").groupBy("book_name").agg(F.count("*").alias("chunks"), ((F.max(F.unix_micros(F.col("loaded_at").cast("timestamp"))) - F.min(F.unix_micros(F.col("loaded_at").cast("timestamp")))) / 1e6).alias("seconds"))
+    rate = quality.throughput(F.col("chunks").cast("double"), F.col("seconds")).alias("t")
+    return spans.select("book_name", "chunks", rate).select("book_name", "chunks", *[F.round(f"t.{c}", 6).alias(c) for c in ("seconds", "seconds_per_row", "rows_per_second")])
+
+
 def collection_sample(spark, folder):
     return catalog.samples(_chunks(spark, folder).filter("book_name IS NOT NULL")).select("book_name", "row_id", X.preview(F.col("content"), 80).alias("preview"))
 
@@ -369,8 +453,8 @@ def queries() -> dict[str, Query]:
         clean_all, cleaning_counts, title_level, section_parse, heading_context, sentence_pack, section_chunks, chunk_documents, small_merge, chunk_stats,
         chunk_level_hist, chunk_flags, markdown_stats, parse_report, chunk_issues, issue_report, quality_grade, label_histogram, metric_means, metric_failures,
         metric_grade, metric_delta, chart_frame, lexical_overlap, knn_topk, knn_per_label, knn_prefilter, knn_postfilter, context_precision, bm25_term_stats,
-        bm25_topk, bm25_topk_per_book, hybrid_fusion, hybrid_dedupe, hybrid_prefilter, hybrid_cross_book, hybrid_rerank, context_pack, prompt_build, ask,
-        eval_dataset, collection_counts, collection_sample, catalog_list, catalog_with_all, book_exists, book_missing, label_lookup, section_path, snippet,
+        bm25_topk, bm25_topk_per_book, hybrid_fusion, hybrid_dedupe, hybrid_prefilter, hybrid_cross_book, hybrid_rerank, hybrid_instruction, hybrid_hyde, context_pack, prompt_build, ask,
+        answers_kept, answers_aside, eval_dataset, eval_baseline, load_throughput, faithfulness, context_recall, answer_relevancy, top_sources, result_display, point_lookup, collection_counts, collection_sample, catalog_list, catalog_with_all, book_exists, book_missing, label_lookup, section_path, snippet,
         stems, selection, page_segments, chunk_preview, latest_load, messages,
     )
     return steps | {f.__name__: f for f in named}

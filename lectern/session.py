@@ -1,5 +1,7 @@
 """A session with the settings the plans are written for."""
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 from . import config
@@ -35,3 +37,18 @@ def spread(df: DataFrame) -> DataFrame:
 def small(df: DataFrame, rows: int = config.BROADCAST_ROWS) -> bool:
     """Whether a table is proven small enough to broadcast: it has at most so many rows. Reads no more than that."""
     return df.select().limit(rows + 1).count() <= rows
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows of df from a checkpoint in the shared folder, which lost executors can't take with them.
+
+    The folder is spark.checkpoint.dir of the session, or the one set on its context. Without either, a local session
+    gets a folder of its own; on a cluster that is an error, as a folder of one machine can't be read by others.
+    """
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
+    return df.checkpoint(eager=True)

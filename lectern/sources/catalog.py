@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .. import config
+from ..session import small
+
 PREFIX = "textbook_"
 
 
@@ -21,6 +24,12 @@ def scan(spark: SparkSession, path: str, book: str | None = None) -> DataFrame:
     return stored if book is None else stored.filter(F.col("book_name") == book)
 
 
+def lookup(chunks: DataFrame, wanted: DataFrame, key: str = "chunk_id", rows: int = config.BROADCAST_ROWS) -> DataFrame:
+    """The chunks with the wanted ids. Few ids go to all tasks, and the chunks stay where they are; more are joined."""
+    ids = wanted.select(key).distinct()
+    return chunks.join(F.broadcast(ids) if small(ids, rows) else ids, key, "left_semi")
+
+
 def names(collections: DataFrame) -> DataFrame:
     """The collections of books in order of their names, by the same pattern that a catalog query uses."""
     return collections.filter(F.col("name").like("textbook_%")).select("name").orderBy("name")

@@ -69,6 +69,12 @@ def segments(pages: Column, size: int = config.PAGES_PER_SEGMENT) -> Column:
     return F.transform(starts, lambda i: F.struct(i.alias("segment"), (i * size + 1).alias("first"), F.least((i + 1) * size, pages).alias("last")))
 
 
+def discover(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
+    """path, name of the files of a folder whose names match, in order of their names; contents aren't read."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path")
+    return found.withColumn("name", F.substring_index("path", "/", -1)).orderBy("name", "path")
+
+
 Parser = Callable[[bytes, int, int], str]
 
 

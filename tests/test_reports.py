@@ -126,3 +126,37 @@ def test_stream(spark, tmp_path):
         q = ingest(spark, str(landing), str(tmp_path / "out"), str(tmp_path / "cp"), once=True)
         q.awaitTermination(60)
     assert catalog.scan(spark, str(tmp_path / "out")).count() == 1
+
+
+def test_throughput(spark):
+    rows = spark.createDataFrame([(4.0, 2.0), (0.0, 2.0), (4.0, 0.0)], "n DOUBLE, s DOUBLE").select(quality.throughput(F.col("n"), F.col("s")).alias("t"))
+    assert [tuple(r["t"]) for r in rows.collect()] == [(2.0, 0.5, 2.0), (2.0, None, 0.0), (0.0, 0.0, None)]
+
+
+def test_settings():
+    from lectern.config import setting
+
+    held = {"JUDGE_MODEL": "a", "MODEL": "b", "JUDGE_KEY": " "}
+    assert [setting("model", "judge", "c", held), setting("model", "other", "c", held), setting("key", "judge", "c", held), setting("key", environment=held)] == ["a", "b", "c", None]
+
+
+def test_lookup(spark):
+    from lectern.sources import catalog
+
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c"), (None, "d")], "chunk_id INT, t STRING")
+    wanted = spark.createDataFrame([(2,), (2,), (None,), (9,)], "chunk_id INT")
+    for bound in (100, 0):
+        assert sorted(r["t"] for r in catalog.lookup(rows, wanted, rows=bound).collect()) == ["b", "c"]
+
+
+def test_discover(spark, tmp_path):
+    from lectern.sources import files
+
+    for name in ("b_cleaned.md", "a_cleaned.md", "c.txt"):
+        (tmp_path / name).write_text("x")
+    assert [r["name"] for r in files.discover(spark, str(tmp_path), "*_cleaned.md").collect()] == ["a_cleaned.md", "b_cleaned.md"]
+
+
+def test_sentence_verdicts(spark):
+    df = spark.createDataFrame([("一二。三四！", "一二"), ("", "x"), (None, "x"), ("一", None)], "a STRING, c STRING")
+    assert [r["v"] for r in df.select(metrics.supported(F.col("a"), F.col("c")).alias("v")).collect()] == [[True, False], [], None, None]

@@ -51,6 +51,8 @@ def test_nearest(spark):
     assert [(r["label"], r["vec_id"]) for r in per] == [(0, 1), (1, 3)]
     assert vector.nearest(rows, queries.filter("false"), 2).count() == 0
     assert vector.nearest(rows.filter("false"), queries, 2).count() == 0
+    carried = vector.nearest(rows, queries, 2, carry=("label",)).orderBy("rank").collect()
+    assert [(r["vec_id"], r["label"]) for r in carried] == [(1, 0), (2, 0)]
     assert vector.nearest(rows, rows.select(F.col("vec_id").alias("query_id"), "embedding"), 2, block=2).count() == 8
 
 
@@ -111,7 +113,41 @@ def test_ask(chunks, questions):
     got = {r["query_id"]: r for r in hybrid.ask(chunks, questions, 2).collect()}
     assert got[1]["success"] and got[1]["answer"] and got[1]["prompt"].endswith("请开始你的回答：\n")
     assert len(got[1]["context"]) <= config.CONTEXT_CHARS + len(hybrid.CUT)
-    assert got[3]["hits"] == 0 and not got[3]["success"]
+    assert got[3]["hits"] == [] and not got[3]["success"] and got[3]["prompt"] == ""
+    assert [h["place"] for h in got[1]["hits"]] == list(range(1, len(got[1]["hits"]) + 1)) and got[1]["tokens"]["total"] > 0 and got[1]["sources"][0].startswith("os > 第")
+
+
+def test_ask_with_a_model(chunks, questions):
+    def client():
+        return lambda prompt: "答：" + prompt[-5:]
+
+    got = {r["query_id"]: r for r in hybrid.ask(chunks, questions, 2, answerer=lambda df: plugins.generate(df, client, wait=0.0)).collect()}
+    assert got[1]["answer"].startswith("答：") and got[1]["model"] == "client" and got[1]["success"]
+    assert got[3]["answer"] is None and not got[3]["success"]
+
+
+def test_scope(spark, chunks, questions):
+    """A question with a book gets k chunks of it; one without gets half as many of each book, k in all."""
+    many = spark.createDataFrame([(10 + i, "os", "第1章", f"1.{i} 死锁", "死锁是进程互相等待。" * (11 + i), 200) for i in range(9)], CHUNKS).unionByName(chunks)
+    got = hybrid.search(many, questions, 4, scope="all").collect()
+    places = lambda q: sorted(r["place"] for r in got if r["query_id"] == q)
+    assert places(1) == [1, 2, 3, 4] and places(2) == [1, 2, 3, 4] and places(3) == []
+    assert all(sum(r["book_name"] == b for r in got if r["query_id"] == 2) <= 2 for b in ("os", "db"))
+
+
+def test_search_with_passage(chunks, questions):
+    plain = hybrid.search(chunks, questions, 2).collect()
+    hyde = hybrid.search(chunks, questions, 2, write=plugins.framed_passage).collect()
+    told = hybrid.search(chunks, questions, 2, instruction="说明：").collect()
+    best = lambda rows: [(r["query_id"], r["key"], r["similarity"]) for r in rows if r["method"] == "embedding"]
+    assert best(plain) != best(hyde) != best(told)
+
+
+def test_plans_read_the_chunks_few_times(spark, folder):
+    from lectern.plans import registry
+
+    plan = registry.bm25_topk_per_book(spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet [row_id") + plan.count("FileScan parquet [book_name") <= 3 and "NestedLoop" not in plan and "Cartesian" not in plan
 
 
 def test_answers_kept_aside(spark, chunks, questions):
@@ -119,7 +155,7 @@ def test_answers_kept_aside(spark, chunks, questions):
     kept, aside = hybrid.successful(rows)
     assert [r["query_id"] for r in kept.collect()] == [1] and sorted(r["query_id"] for r in aside.collect()) == [2, 3]
     plain = hybrid.answer(chunks, questions, k=3).collect()
-    assert len(plain) == questions.count() and all(r["answer"] is None and r["success"] is False and r["prompt"] for r in plain)
+    assert len(plain) == questions.count() and all(r["answer"] is None and r["success"] is False and bool(r["prompt"]) == bool(r["hits"]) for r in plain)
 
 
 def test_display_and_sources(spark):
