@@ -2,7 +2,7 @@
 
 A text is fed in blocks. Tokens are emitted as soon as no later character can change them: the pattern that splits text
 before the merges needs three characters beyond a piece, and inside a piece that is longer than a block the merges need
-as many bytes as the longest token has (see PieceEncoder). What is kept between blocks is bounded by that, not by the
+as many bytes as may begin a token (see PieceEncoder). Every text goes this way, in blocks of BLOCK characters. What is kept between blocks is bounded by that, not by the
 text. Decoding goes the other way, from ids to bytes to text, with a state machine that keeps at most three bytes.
 """
 
@@ -24,9 +24,13 @@ from .batches import map_rows, schema
 FOLDER = os.environ.get("TOKENIZER_FOLDER", "/opt/tokenizers")
 #: Fixed value: the pattern of the byte-level vocabularies, which splits text before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: The last place where a piece ends whatever stands before and after: no piece goes on from a letter, a number or a sign
+#: into white space, nor from letters or numbers into anything else.
+CERTAIN = r"(?r)(?<=\S)(?=\s)|(?<=\p{L})(?=[^\s\p{L}])|(?<=\p{N})(?=[^\s\p{N}])"
 #: Characters beyond a piece after which it is certain: an apostrophe may take two letters, white space looks one on.
 PIECE_LOOKAHEAD = 3
-BLOCK = 1 << 16
+#: Characters fed at a time; what is kept between blocks is bounded by this and the lookahead, not by the text.
+BLOCK = 1 << 10
 
 
 @functools.lru_cache(4)
@@ -40,13 +44,16 @@ class PieceEncoder:
 
     For each prefix of the piece only the last token of its encoding is kept; the encoding of any prefix is then the
     chain of last tokens. A token can follow the chain at some place if encoding it together with the token before gives
-    just these two. The encoding of a longer text has a boundary within each window of as many bytes as the longest
-    token: tokens that the chains of all places in the last such window share can't change any more and are emitted.
+    just these two. How far to look ahead follows from the merge list: whatever comes next, the token over the end of what
+    was fed starts at a place from which the rest is a beginning of a token, or at the end itself. Tokens that the chains
+    of all these places share can't change any more and are emitted.
     """
 
     def __init__(self, encoding, ranks: dict[bytes, int]):
         self.encoding, self.ranks = encoding, ranks
-        self.lookahead = max(map(len, ranks))
+        self.longest = max(map(len, ranks))
+        #: All beginnings of tokens.
+        self.begun = {t[:n] for t in ranks for n in range(1, len(t))}
         sizes: dict[bytes, set[int]] = {}
         for t in ranks:
             sizes.setdefault(t[-2:], set()).add(len(t))
@@ -75,17 +82,22 @@ class PieceEncoder:
                     break
             else:
                 last.append(None)
-        stable = self._shared(len(buf))
+        stable = self._shared()
         out = self._chain(stable)
         if stable:
             keep = last[stable]
             self.buf, self.last = buf[stable:], [keep, *last[stable + 1 :]]
         return out
 
-    def _shared(self, end: int) -> int:
-        """The last boundary that the chains of all places within the lookahead have in common."""
+    def open_places(self) -> list[int]:
+        """Where a token over the end of what was fed may start, the end itself included."""
+        end = len(self.buf)
+        return [p for p in range(max(0, end - self.longest + 1), end) if self.buf[p:] in self.begun] + [end]
+
+    def _shared(self) -> int:
+        """The last boundary that the chains of all open places have in common."""
         common = None
-        for place in range(max(0, end - self.lookahead + 1), end + 1):
+        for place in self.open_places():
             if self.last[place] is None:
                 continue
             on, at = set(), place
@@ -120,6 +132,7 @@ class Transducer:
         self.ranks = _ranks(str(Path(folder, f"{name}.tiktoken")))
         self.encoding = tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=self.ranks, special_tokens={})
         self.block, self.pieces = block, regex.compile(PATTERN)
+        self.certain = regex.compile(CERTAIN)
         self.bytes_of = {i: b for b, i in self.ranks.items()}
         self._long: PieceEncoder | None = None
 
@@ -127,8 +140,6 @@ class Transducer:
         """The ids of a text; an empty list for a null and for an empty one."""
         if not text:
             return []
-        if len(text) <= self.block:
-            return self.encoding.encode_ordinary(text)
         return list(self.stream(text[i : i + self.block] for i in range(0, len(text), self.block)))
 
     def stream(self, blocks: Iterable[str]) -> Iterator[int]:
@@ -143,6 +154,12 @@ class Transducer:
                     continue
                 yield from self._long.finish()
                 kind = ""
+            if m := self.certain.search(buf, 0, max(0, len(buf) - PIECE_LOOKAHEAD)):
+                yield from self.encoding.encode_ordinary(buf[: m.start()])
+                buf = buf[m.start() :]
+            # without such a place, or for what is after it, piece by piece
+            if len(buf) <= self.block:
+                continue
             stable, solid, spaces = 0, 0, []
             for m in self.pieces.finditer(buf):
                 if m.end() > len(buf) - PIECE_LOOKAHEAD:

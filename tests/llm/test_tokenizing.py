@@ -39,7 +39,7 @@ def test_long_piece(piece):
         out += encoder.feed(raw[at : at + n])
         held, at = max(held, len(encoder.buf)), at + n
     assert out + encoder.finish() == WHOLE.encoding._encode_single_piece(raw)
-    assert held <= 3 * encoder.lookahead + 30
+    assert held <= 3 * encoder.longest + 30
 
 
 def test_table(spark):
