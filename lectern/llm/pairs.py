@@ -106,13 +106,15 @@ class Languages:
         total = counts.sum(axis=1, keepdims=True)
         # weight of the background: n-grams that a language never shows count a little everywhere
         back = (counts.sum(axis=0) + 0.1) / (counts.sum() + 0.1 * counts.shape[1])
-        self.log = np.log((counts + 20.0 * back) / (total + 20.0)).astype(np.float32)
+        # a row an n-gram, so that a text reads whole rows
+        self.log = np.ascontiguousarray(np.log((counts + 20.0 * back) / (total + 20.0)).astype(np.float32).T)
+        self.kept: dict[str, tuple[str | None, str, float]] = {}
 
     def posterior(self, text: str) -> np.ndarray:
         at = _grams(text)
         if not at.size:
             return np.full(len(LANGUAGES), 1 / len(LANGUAGES))
-        score = self.log[:, at].sum(axis=1) / len(ORDERS)
+        score = self.log[at].sum(axis=0, dtype=np.float64) / len(ORDERS)
         p = np.exp(score - score.max())
         return p / p.sum()
 
@@ -120,6 +122,17 @@ class Languages:
         p = self.posterior(text)
         return LANGUAGES[int(p.argmax())], float(p.max())
 
+    def wanted(self, question: str) -> tuple[str | None, str, float]:
+        """The language that a question asks for, if any, its own and how sure that is; many pairs share a question."""
+        held = self.kept.get(question)
+        if held is None:
+            if len(self.kept) > 1 << 16:
+                self.kept.clear()
+            asked = next((k for k, v in ASKED.items() if v.search(question)), None)
+            # names of things stay as they are when another language is asked for
+            held = self.kept[question] = (asked, *self.of(prose(re.sub(r"[A-Za-z]+", "", question)) if asked else question))
+        return held
+
 
 # -- ends -----------------------------------------------------------------------------------------------------------
 
@@ -227,6 +240,11 @@ def truncated(text: str, ends: Ends | None) -> bool:
     return odds < (0.0 if kind == 0 else -1.5)
 
 
+_LETTERS = re.compile(r"[^\W\d_]")
+_LATIN_WORDS = re.compile(r"[^\W\d_一-鿿぀-ヿ가-힯]{2,}")
+_WIDE_LETTERS = re.compile(r"[一-鿿぀-ヿ가-힯]")
+
+
 # -- defects --------------------------------------------------------------------------------------------------------
 
 
@@ -272,18 +290,17 @@ def is_refusal(question: str | None, answer: str) -> bool:
 
 
 def other_language(question: str | None, answer: str, languages: Languages) -> bool:
-    asked = next((k for k, v in ASKED.items() if question and v.search(question)), None)
+    if not question or not plain(question):
+        return False
     body = prose(answer)
-    letters = re.findall(r"[^\W\d_]", body)
-    words = re.findall(r"[^\W\d_一-鿿぀-ヿ가-힯]{2,}", body)
-    han = len(re.findall(r"[一-鿿぀-ヿ가-힯]", body))
-    if len(letters) < 8 or han < 6 and len(words) < 4:
+    letters = _LETTERS.findall(body)
+    if len(letters) < 8 or len(_WIDE_LETTERS.findall(body)) < 6 and len(_LATIN_WORDS.findall(body)) < 4:
         return False
     said, sure = languages.of(body)
-    if asked:
-        return said != asked and sure > 0.99 and said != languages.of(prose(re.sub(r"[A-Za-z]+", "", question)))[0]
-    want, known = languages.of(question or "")
-    return bool(question and plain(question)) and said != want and sure > 0.99 and known > 0.9
+    if sure <= 0.99:
+        return False
+    asked, own, known = languages.wanted(question)
+    return said not in (asked, own) if asked else said != own and known > 0.9
 
 
 def defect(question: str | None, answer: str | None, languages: Languages, ends: Ends | None) -> str | None:
@@ -298,26 +315,42 @@ def defect(question: str | None, answer: str | None, languages: Languages, ends:
     return "truncated" if truncated(answer, ends) else None
 
 
-def train_languages(df: DataFrame, columns: tuple[str, ...]) -> np.ndarray:
-    """n-gram counts by language: each text of the columns counts for the language that the seeds give it."""
-    first = Languages(seed_counts())
+#: Rounds of training: the seeds tell the languages of the texts, then what was learned from those tells them anew.
+ROUNDS = 2
+#: Share of all n-grams that a language must have to learn from the table.
+COMMON = 0.02
 
-    def count(cols, table):
-        found: dict[str, list[np.ndarray]] = {}
-        for texts in cols:
-            for t in texts:
-                if t:
-                    said, sure = first.of(t)
-                    if sure > 0.99:
-                        found.setdefault(said, []).append(_grams(t))
-        for said, grams in found.items():
-            np.add.at(table[LANGUAGES.index(said)], np.concatenate(grams), 1)
-
-    learned = hashed_counts(df, columns, count, (len(LANGUAGES), 1 << LANGUAGE_BITS)).astype(np.float64)
-    # a language that is rare in the table keeps its seed: what is learned is scaled to at most a hundred seeds
+
+def train_languages(df: DataFrame, columns: tuple[str, ...]) -> np.ndarray:
+    """n-gram counts by language: each text of the columns counts for the language that the model so far is sure of."""
     seeds = seed_counts()
-    scale = np.minimum(1.0, 100.0 * seeds.sum(axis=1, keepdims=True) / np.maximum(learned.sum(axis=1, keepdims=True), 1))
-    return 5 * seeds + learned * scale
+    counts = seeds
+    for _ in range(ROUNDS):
+        shared = df.sparkSession.sparkContext.broadcast(counts.astype(np.float32))
+
+        def count(cols, table, shared=shared):
+            if not hasattr(count, "model"):
+                count.model = Languages(shared.value.astype(np.float64))
+            found: dict[str, list[np.ndarray]] = {}
+            for texts in cols:
+                said_of: dict[str, tuple[str, float]] = {}
+                for t in texts:
+                    if t:
+                        if t not in said_of:
+                            said_of[t] = count.model.of(t)
+                        said, sure = said_of[t]
+                        if sure > 0.99:
+                            found.setdefault(said, []).append(_grams(t))
+            for said, grams in found.items():
+                np.add.at(table[LANGUAGES.index(said)], np.concatenate(grams), 1)
+
+        learned = hashed_counts(df, columns, count, (len(LANGUAGES), 1 << LANGUAGE_BITS)).astype(np.float64)
+        # a language that is rare in the table keeps its seed alone, as what it got may be another's; what is learned of
+        # the others is scaled to at most a hundred seeds
+        learned[learned.sum(axis=1) < COMMON * learned.sum()] = 0.0
+        scale = np.minimum(1.0, 100.0 * seeds.sum(axis=1, keepdims=True) / np.maximum(learned.sum(axis=1, keepdims=True), 1))
+        counts = 5 * seeds + learned * scale
+    return counts
 
 
 def train_ends(df: DataFrame, columns: tuple[str, ...]) -> np.ndarray:

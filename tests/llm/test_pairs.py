@@ -70,3 +70,12 @@ def test_languages_held_out():
     languages = P.Languages(5 * P.seed_counts())
     for want, text in {"en": "which of the processes is protected by the method that the table describes", "zh": "这种方法可以用来处理等待的进程，因此需要保护数据", "fr": "la méthode sert à protéger les données qui sont partagées", "ru": "этот процесс защищает данные, которые находятся в памяти"}.items():
         assert languages.of(text)[0] == want
+
+
+def test_short_questions_keep_their_language(spark):
+    """English questions that the seeds alone take for another language are told rightly once the table was learned from."""
+    ends = ("How does a relation schema differ from a transaction?", "In Compiler Construction, how is the activation record introduced?", "How does a intermediate code differ from a symbol table?", "How does a scheduler differ from a interrupt?")
+    more = [f"The {a} {b} the {c} before the {d} is used by the other programs." for a in ("scheduler", "relation schema", "symbol table", "interrupt") for b in ("checks", "restores", "updates") for c in ("input data", "transaction", "activation record") for d in ("buffer", "intermediate code", "queue")]
+    rows = [(i, q, a, None) for i, (q, a) in enumerate((q, a) for q in ends for a in more)]
+    df = spark.createDataFrame([(i, q, a, a) for i, q, a, _ in rows], "pair_id BIGINT, question STRING, answer STRING, ground_truth STRING")
+    assert P.flag_pairs(df).filter("defect IS NOT NULL").count() == 0
