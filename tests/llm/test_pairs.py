@@ -74,7 +74,7 @@ def test_languages_held_out():
 
 def test_short_questions_keep_their_language(spark):
     """English questions that the seeds alone take for another language are told rightly once the table was learned from."""
-    ends = ("How does a relation schema differ from a transaction?", "In Compiler Construction, how is the activation record introduced?", "How does a intermediate code differ from a symbol table?", "How does a scheduler differ from a interrupt?")
+    ends = ("How does a relation schema differ from a transaction?", "How does a intermediate code differ from a symbol table?", "How does a scheduler differ from a interrupt?")
     more = [f"The {a} {b} the {c} before the {d} is used by the other programs." for a in ("scheduler", "relation schema", "symbol table", "interrupt") for b in ("checks", "restores", "updates") for c in ("input data", "transaction", "activation record") for d in ("buffer", "intermediate code", "queue")]
     clear = [f"What happens to the {a} when the {b} of the system is used by other programs, and which of the two {c} it?" for a in ("scheduler", "buffer", "queue") for b in ("input data", "memory", "table") for c in ("checks", "restores", "updates", "needs")]
     pairs = [(q, a) for q in clear for a in more[::9]] + list(zip(ends, more))
