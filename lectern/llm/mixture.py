@@ -39,9 +39,11 @@ def _newton(sized: DataFrame, goal: dict[str, float], cap: dict[str, int], mean:
     at = {s: 0.0 for s in goal}
     low, high = {s: -60.0 for s in goal}, {s: 60.0 for s in goal}
     left = set(goal)
-    for _ in range(STEPS):
+    for step in range(STEPS + 1):
         if not left:
             break
+        if step == STEPS:
+            raise ValueError(f"no multiplier found in {STEPS} steps for {sorted(left)}")
         now = spark.createDataFrame([(s, at[s], float(cap[s]), mean[s]) for s in sorted(left)], "source STRING, m DOUBLE, cap DOUBLE, mean DOUBLE")
         joined = sized.join(F.broadcast(now), "source")
         x = F.col("tokens") / F.col("mean")
@@ -89,7 +91,8 @@ def mix_sources(df: DataFrame, targets: DataFrame, key: str = "doc_id", text: st
     rows = [(s, min(m, 1e6), float(wants[s][1]), mean[s], math.ceil(have[s][0] / LINE)) for s, m in at.items()]
     rates = spark.createDataFrame(rows, "source STRING, m DOUBLE, cap DOUBLE, mean DOUBLE, parts INT")
     rated = sized.join(F.broadcast(rates), "source").withColumn("rate", F.least(F.exp(F.least(F.col("m") * F.col("tokens") / F.col("mean"), F.lit(50.0))), F.col("cap")))
-    copies = _rounded(rated).filter("copies > 0").select("doc_id", "source", "tokens", "copies")
+    rounded = _corrected(_rounded(rated), {s: g for s, g in goal.items()})
+    copies = rounded.filter("copies > 0").select("doc_id", "source", "tokens", "copies")
     used = copies.groupBy("source").agg(F.count("*").alias("documents_used"), F.sum(F.col("tokens") * F.col("copies")).alias("tokens_used"))
     rows = [(s, w, int(c), *have.get(s, (0, 0))) for s, (w, c) in wants.items()]
     shares = spark.createDataFrame(rows, "source STRING, weight DOUBLE, max_repeats INT, documents BIGINT, tokens_available BIGINT").join(used, "source", "left").na.fill(0, ["documents_used", "tokens_used"])
@@ -106,3 +109,33 @@ def _rounded(rated: DataFrame) -> DataFrame:
     start = F.pmod(F.xxhash64("source", "part"), F.lit(1 << 20)) / (1 << 20)
     out = rated.withColumn("part", part).withColumn("sum", F.round(F.sum(fraction).over(line.rowsBetween(W.unboundedPreceding, 0)) + start, 9))
     return out.withColumn("copies", (F.floor("rate") + F.floor("sum") - F.floor(F.round(F.col("sum") - fraction, 9))).cast("int"))
+
+
+#: Passes that bring the rounded copies closer to the goals.
+PASSES = 3
+
+
+def _corrected(rounded: DataFrame, goal: dict[str, float]) -> DataFrame:
+    """The copies after what rounding left over, a document or so a line, is made up for.
+
+    Where a source has too few tokens, documents that fit what is missing get one copy more, long ones first; where it
+    has too many, documents that fit lose one. Each pass leaves a source no farther from its goal. What is left over is
+    less than the shortest document that can still change. Only the first line of a source is changed, at most LINE
+    documents or so, so that no task gets more. Each pass is one aggregation, a row a source comes back.
+    """
+    spark, out = rounded.sparkSession, written(rounded.select("doc_id", "source", "tokens", "copies", "cap", "part"))
+    for _ in range(PASSES):
+        have = {r["source"]: r["used"] for r in out.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("used")).collect()}
+        off = [(s, g - have.get(s, 0)) for s, g in sorted(goal.items()) if abs(g - have.get(s, 0)) >= 1]
+        if not off:
+            break
+        missing = spark.createDataFrame(off, "source STRING, missing DOUBLE")
+        joined = out.join(F.broadcast(missing), "source", "left")
+        can = (F.col("part") == 0) & (F.col("tokens") <= F.abs("missing")) & F.when(F.col("missing") > 0, F.col("copies") < F.col("cap")).otherwise(F.col("copies") > 0)
+        able = joined.withColumn("able", F.coalesce(can, F.lit(False)))
+        # documents that can't change stay out of the line
+        line = W.partitionBy("source", "part", "able").orderBy(F.desc("tokens"), "doc_id").rowsBetween(W.unboundedPreceding, 0)
+        fits = F.col("able") & (F.sum("tokens").over(line) <= F.abs("missing"))
+        change = F.when(fits, F.signum("missing")).otherwise(0.0).cast("int")
+        out = written(able.withColumn("change", change).select("doc_id", "source", "tokens", (F.col("copies") + F.col("change")).alias("copies"), "cap", "part"))
+    return out

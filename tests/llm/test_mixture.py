@@ -4,6 +4,7 @@ import math
 
 import pytest
 
+from lectern.llm import queries as Q
 from lectern.llm.mixture import mix_sources
 
 TARGETS = [("a", 0.5, 2), ("b", 0.3, 3), ("c", 0.2, 4), ("none", 0.1, 4)]
@@ -65,3 +66,14 @@ def test_odd_tables(tables):
     assert copies.count() == 0 and {r["share"] for r in shares.collect()} == {0.0}
     copies, shares = mix_sources(docs, targets.filter("false"))
     assert copies.count() == 0 and shares.count() == 0
+
+
+def test_shares_of_the_tables(spark, folder):
+    """Shares come as near to the targets as the documents allow: within a document of a source with a few."""
+    got = {r["source"]: r for r in Q.p7_shares(spark, folder).collect()}
+    live = {s: r for s, r in got.items() if r["documents"] > 0}
+    whole = sum(r["weight"] for r in live.values())
+    total = sum(r["tokens_used"] for r in live.values())
+    for r in live.values():
+        mean = r["tokens_available"] / r["documents"]
+        assert abs(r["tokens_used"] - total * r["weight"] / whole) <= max(0.02 * total * r["weight"], mean)
