@@ -203,8 +203,7 @@ def learn(patterns: dict[tuple[int, ...], int], rounds: int = 30) -> tuple[np.nd
             table = np.zeros((k, k + 1))
             for v in range(k + 1):
                 table[:, v] = mass[seen[:, j] == v].sum(axis=0)
-            strength = PRIOR_WEIGHT + 0.05 * table.sum(axis=1, keepdims=True)
-            table += strength * start[j]
+            table += PRIOR_WEIGHT * start[j]
             confusion[j] = table / table.sum(axis=1, keepdims=True)
     return prior, confusion
 
