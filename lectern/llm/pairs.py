@@ -111,7 +111,10 @@ class Languages:
         self.kept: dict[str, tuple[str | None, str, float]] = {}
 
     def posterior(self, text: str) -> np.ndarray:
-        at = _grams(text)
+        return self.by(_grams(text))
+
+    def by(self, at: np.ndarray) -> np.ndarray:
+        """The posterior of a text by its n-grams."""
         if not at.size:
             return np.full(len(LANGUAGES), 1 / len(LANGUAGES))
         score = self.log[at].sum(axis=0, dtype=np.float64) / len(ORDERS)
@@ -328,21 +331,21 @@ def train_languages(df: DataFrame, columns: tuple[str, ...]) -> np.ndarray:
     for _ in range(ROUNDS):
         shared = df.sparkSession.sparkContext.broadcast(counts.astype(np.float32))
 
-        def count(cols, table, shared=shared):
-            if not hasattr(count, "model"):
-                count.model = Languages(shared.value.astype(np.float64))
-            found: dict[str, list[np.ndarray]] = {}
-            for texts in cols:
-                said_of: dict[str, tuple[str, float]] = {}
-                for t in texts:
-                    if t:
-                        if t not in said_of:
-                            said_of[t] = count.model.of(t)
-                        said, sure = said_of[t]
-                        if sure > 0.99:
-                            found.setdefault(said, []).append(_grams(t))
-            for said, grams in found.items():
-                np.add.at(table[LANGUAGES.index(said)], np.concatenate(grams), 1)
+        def count(cols, table, shared=shared, held={}):  # noqa: B006
+            # in each task: the model, and the texts met, as many share a question and its truth
+            if "model" not in held:
+                held["model"], held["texts"] = Languages(shared.value.astype(np.float64)), {}
+            texts = held["texts"]
+            for t in (t for texts in cols for t in texts if t):
+                if t not in texts:
+                    if len(texts) >= 1 << 13:
+                        texts.clear()
+                    at = _grams(t)
+                    p = held["model"].by(at)
+                    texts[t] = int(p.argmax()) if p.max() > 0.99 else -1, at.astype(np.int32)
+                said, at = texts[t]
+                if said >= 0:
+                    np.add.at(table[said], at, 1)
 
         learned = hashed_counts(df, columns, count, (len(LANGUAGES), 1 << LANGUAGE_BITS)).astype(np.float64)
         # a language that is rare in the table keeps its seed alone, as what it got may be another's; what is learned of
