@@ -10,8 +10,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-#: Rows handed to Python code at a time; long texts then never pile up in one output batch.
-SLICE_ROWS = 1000
+#: Rows, and bytes, handed to Python code at a time; long texts then never pile up in one batch. One row may be larger.
+SLICE_ROWS, SLICE_BYTES = 1000, 16 << 20
+
+
+def slices(batch: pa.RecordBatch, rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of at most so many rows and SLICE_BYTES bytes."""
+    at = 0
+    while at < batch.num_rows:
+        n = min(rows, batch.num_rows - at)
+        while n > 1 and batch.slice(at, n).nbytes > SLICE_BYTES:
+            n = (n + 1) // 2
+        yield batch.slice(at, n)
+        at += n
 
 
 def map_rows(df: DataFrame, columns: Sequence[str], make: Callable[[], Callable[[list[list]], list[list]]], schema: T.StructType) -> DataFrame:
@@ -25,8 +36,7 @@ def map_rows(df: DataFrame, columns: Sequence[str], make: Callable[[], Callable[
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(at, SLICE_ROWS)
+            for part in slices(batch):
                 out = fn([c.to_pylist() for c in part.columns])
                 yield pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for v, f in zip(out, arrow)], schema=arrow)
 

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .batches import slices
 from .hashing import UNIT, mix
 from .language import hashes
 from .materialize import gathered, written
@@ -134,8 +135,7 @@ def learn(df: DataFrame, columns: list[tuple[str, list[Column]]], lm, places, co
         find = occurrences(*shared.value)
         held: dict[tuple[int, str], int] = {}
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
+            for part in slices(batch, 2000):
                 for i in range(fields):
                     for k, n in find(part.column(3 * i).to_pylist(), part.column(3 * i + 1).to_numpy(), part.column(3 * i + 2).to_numpy()).items():
                         held[k] = held.get(k, 0) + n

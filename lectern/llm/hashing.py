@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .batches import slices
+
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _OTHER = np.uint64(0xD6E8FEB86659FD93)
 ROWS = 2
@@ -144,8 +146,8 @@ def hashed_counts(df: DataFrame, columns: tuple[str | Column, ...], count: Calla
     def run(batches):
         table = np.zeros(shape, np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                count([c.to_numpy(zero_copy_only=False) if pa.types.is_integer(c.type) else c.to_pylist() for c in batch.slice(at, rows).columns], table)
+            for part in slices(batch, rows):
+                count([c.to_numpy(zero_copy_only=False) if pa.types.is_integer(c.type) else c.to_pylist() for c in part.columns], table)
         flat = table.reshape(-1)
         filled = np.nonzero(flat)[0]
         for at in range(0, filled.size, 1 << 18):

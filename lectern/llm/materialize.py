@@ -1,11 +1,11 @@
-"""Cutting lineage: tables written in the folder that the cluster names for checkpoints."""
+"""Small tables on the driver, with a bound; and tables written in the folder that the cluster names for checkpoints."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Row
 
+from ..session import written  # noqa: F401
+
 #: Rows that a lookup table may have to be gathered and sent to all tasks.
 LOOKUP_ROWS = 100_000
 
@@ -16,18 +16,3 @@ def gathered(df: DataFrame, what: str, rows: int = LOOKUP_ROWS) -> list[Row]:
     if len(out) > rows:
         raise ValueError(f"{what} has more than {rows} rows")
     return out
-
-
-def written(df: DataFrame) -> DataFrame:
-    """The rows of df from a checkpoint in the shared folder; lost executors can't take it with them.
-
-    The folder is spark.checkpoint.dir of the session, or the one set on its context. Without either, a local session
-    gets a folder of its own; on a cluster that is an error, as a folder of one machine can't be read by others.
-    """
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint(eager=True)
