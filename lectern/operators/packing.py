@@ -34,12 +34,20 @@ def merge_small(chunks: DataFrame, limit: int = config.MAX_CHUNK, least: int = c
     """doc_id, ordinal and the chunk columns: chunks below the least size join the one before, or fall away.
 
     chunks: doc_id, ordinal and the chunk columns. Each big chunk begins anew, so a document falls into runs of a big
-    chunk and the small ones after it; runs are folded each on their own, and no task ever holds a whole document.
+    chunk and the small ones after it; runs are folded each on their own, and no task ever holds a whole document. Of
+    the small ones of a run only those are gathered that can still join: none before the first that fits; after it a
+    chunk only grows, by at least two characters a time, so of each size only the first limit / 2 can.
     Merging crosses sections and chapters, and the headings of the earlier chunk stay.
     """
     names = ["ordinal", *CHUNK.names]
     so_far = W.partitionBy("doc_id").orderBy("ordinal").rowsBetween(W.unboundedPreceding, 0)
     runs = chunks.withColumn("run", F.sum((F.col("char_count") >= least).cast("int")).over(so_far)).filter("run > 0")
+    run, count, small = W.partitionBy("doc_id", "run"), F.col("char_count"), F.col("char_count") < least
+    fits = runs.withColumn("_first", F.first("char_count").over(run.orderBy("ordinal").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
+    fits = fits.withColumn("_begun", F.min(F.when(small & (count + F.col("_first") + config.JOIN_CHARS <= limit), F.col("ordinal"))).over(run))
+    fits = fits.filter(~small | (F.col("ordinal") >= F.col("_begun")))
+    same = W.partitionBy("doc_id", "run", "char_count").orderBy("ordinal")
+    runs = fits.withColumn("_place", F.row_number().over(same)).filter(~small | (F.col("_place") <= limit // config.JOIN_CHARS))
     item = F.struct(*names)
     packed = runs.groupBy("doc_id", "run").agg(F.min_by(item, "ordinal").alias("first"), F.array_sort(F.collect_list(F.when(F.col("char_count") < least, item))).alias("rest"))
     kind = dict(packed.dtypes)["first"]

@@ -108,3 +108,33 @@ def test_documents_end_to_end(spark):
 def test_plan_has_no_python(spark):
     plan = packing.chunk_documents(docs(spark, "a"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Cartesian" not in plan
+
+
+def test_merge_of_many_small_chunks(spark):
+    """Against a fold in Python, with many small chunks after a big one and counts that differ from lengths."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from lectern.operators import packing
+
+    rng, rows = random.Random(4), []
+    for doc in range(6):
+        for i in range(900):
+            big = i % 450 == 3
+            n = rng.randint(100, 795) if big else rng.choice([1, 3, 20, 60, 99])
+            rows.append((str(doc), i, "", "", "", "", "", "x" * (n - rng.randint(0, 1) * rng.randint(0, n // 2)), 1, n, False, False))
+    df = spark.createDataFrame(rows, "doc_id STRING, ordinal INT, chunk_id STRING, chapter STRING, section_h2 STRING, section_h3 STRING, section_h4 STRING, content STRING, level INT, char_count INT, has_code BOOLEAN, has_image BOOLEAN")
+    want = []
+    for doc in range(6):
+        cur = None
+        for r in (x for x in rows if x[0] == str(doc)):
+            if r[9] >= 100:
+                want += [cur] if cur else []
+                cur = [r[0], r[1], r[7], r[9]]
+            elif cur and cur[3] + r[9] + 2 <= 800:
+                cur[2] += "\n\n" + r[7]
+                cur[3] = len(cur[2])
+        want += [cur] if cur else []
+    got = packing.merge_small(df).select("doc_id", "ordinal", F.col("content"), "char_count").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))

@@ -87,3 +87,20 @@ def test_text_functions(spark):
     assert apply(spark, X.collection_name, "书")[0].startswith("book_")
     assert apply(spark, X.stem, "os_chunks") == ["os"]
     assert apply(spark, lambda c: X.fixed(F.lit(1234.5), 3), "x") == ["1234.500"]
+
+
+def test_after_heading_by_brute_force(spark, folder):
+    """SQL has no lookahead; here every chunk goes through the same rule in Python."""
+    import re
+
+    from lectern.plans import registry
+    from lectern.session import table
+
+    rule = re.compile(r"(#{1,6}\s+.+?\n\n)([^\n#]{1,15}\n\n)(?=[^\n])")
+    texts = {r["row_id"]: r["content"] for r in table(spark, folder, "chunks").select("row_id", "content").collect()}
+    more = {-1: "# a\nb\nccc\nd", -2: "## x\n短\n长长\n文", -3: "# a\nb", -4: "", -5: "#\n\n# y\n1\n2\n3", -6: None}
+    df = spark.createDataFrame(list(more.items()), "row_id BIGINT, content STRING")
+    got = {r["row_id"]: r["text"] for r in registry.queries()["clean_after_heading"](spark, folder).collect()}
+    got |= {r["row_id"]: r["text"] for r in df.select("row_id", M.drop_after_heading(registry._spaced(F.col("content"))).alias("text")).collect()}
+    want = {k: None if t is None else rule.sub(r"\1", t.replace("\n", "\n\n")) for k, t in (texts | more).items()}
+    assert got == want
