@@ -188,3 +188,50 @@ def test_hyde(spark):
     wrote = plugins.hyde(q, lambda c: F.when(c == "a", F.lit("passage"))).orderBy("query").collect()
     assert [r["query_text"] for r in wrote] == ["passage", "b"]
     assert [r["query_text"] for r in plugins.hyde(q, instruction="x:").orderBy("query").collect()] == ["x:a", "x:b"]
+
+
+def exchanged(spark, run):
+    """Rows that all exchanges wrote while run() ran."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def total():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        return sum(s.shuffleWriteRecords() for s in map(stages().apply, range(stages().size())))
+
+    def stages():
+        return store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+
+    before = total()
+    out = run()
+    return total() - before, out
+
+
+@pytest.mark.parametrize("per_group", [False, True])
+def test_bm25_exchanges_no_pairs(spark, per_group):
+    """Every text holds a word of every question, but only the best of each task leave it."""
+    docs = spark.range(2000, numPartitions=2).selectExpr("concat('g', id % 3) AS grp", "int(id) AS key", "concat_ws(' ', 'a', repeat('b ', int(id % 7)), 'c') AS text")
+    index = bm25.build(docs, "grp", "key", "text")
+    queries = spark.createDataFrame([(i, None if i % 2 else "g1", ["a", "b"]) for i in range(60)], "query_id INT, grp STRING, words ARRAY<STRING>")
+    rows, got = exchanged(spark, lambda: bm25.top(index, queries, 3, per_group=per_group).collect())
+    assert len(got) == (30 * 3 + 30 * 9 if per_group else 180) and rows < 4000
+
+
+def test_best_by_blocks(spark, monkeypatch):
+    """Blocks of few rows give the same as one, ties too."""
+    from lectern.operators import best
+
+    docs = spark.range(300, numPartitions=3).selectExpr("concat('g', id % 3) AS grp", "int(299 - id) AS key", "concat_ws(' ', 'a', repeat('b ', int(id % 4)), if(id % 50 = 0, 'c', '')) AS text")
+    queries = spark.createDataFrame([(1, None, ["b", "c", "c"]), (2, "g1", ["b"]), (3, "g2", ["zz"]), (4, None, None)], "query_id INT, grp STRING, words ARRAY<STRING>")
+    vectors = docs.selectExpr("key AS vec_id", "array(float(key % 5), float(1)) AS embedding", "grp")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 16)
+    try:
+        seen = []
+        for rows in (best.ROWS, 20):
+            monkeypatch.setattr(best, "ROWS", rows)
+            index = bm25.build(docs, "grp", "key", "text")
+            asked = vectors.filter("vec_id % 50 = 0").selectExpr("vec_id AS query_id", "embedding", "if(vec_id = 50, NULL, grp) AS own")
+            near = vector.nearest(vectors, asked, 4, group="grp", query_group="own", exclude_self=True)
+            seen.append([sorted(map(tuple, df.collect())) for df in (bm25.top(index, queries, 4), bm25.top(index, queries, 4, per_group=False), near)])
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert seen[0] == seen[1] and [len(x) for x in seen[0]] == [32, 16, 32] and all(r[0] != r[2] for r in seen[0][2])
