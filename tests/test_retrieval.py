@@ -235,3 +235,20 @@ def test_best_by_blocks(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert seen[0] == seen[1] and [len(x) for x in seen[0]] == [32, 16, 32] and all(r[0] != r[2] for r in seen[0][2])
+
+
+def test_tokens_as_in_sql(spark):
+    """Tokens cut in blocks are those of tokens()."""
+    texts = ["", "a_1 b死锁c\n锁", "x", "é9-鿿一㐀𠀀z", "ＡB A\x00B", "\n", "run"]
+    want = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i INT, t STRING").orderBy("i").select(bm25.tokens(F.col("t"))).collect()]
+    row, code, names = bm25._split(texts)
+    assert [sorted(names[c] for c in code[row == i]) for i in range(len(texts))] == [sorted(w) for w in want]
+
+
+def test_bm25_on_given_words(spark, index):
+    """The index of given tokens scores as that of the texts."""
+    docs = spark.createDataFrame(DOCS, "grp STRING, key INT, text STRING")
+    given = bm25.build(docs, "grp", "key", "text", words=bm25.tokens(F.col("text")))
+    queries = spark.createDataFrame([(1, None, ["b", "b", "c"]), (2, "g", ["zz"])], "query_id INT, grp STRING, words ARRAY<STRING>")
+    both = [sorted(map(tuple, x)) for i in (index, given) for x in (i.terms.collect(), bm25.top(i, queries, 3).collect())]
+    assert both[:2] == both[2:]
