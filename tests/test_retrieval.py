@@ -228,6 +228,7 @@ def test_best_by_blocks(spark, monkeypatch):
         seen = []
         for rows in (best.ROWS, 20):
             monkeypatch.setattr(best, "ROWS", rows)
+            monkeypatch.setattr(best, "PART", 12_000_000 if rows > 20 else 100)
             index = bm25.build(docs, "grp", "key", "text")
             asked = vectors.filter("vec_id % 50 = 0").selectExpr("vec_id AS query_id", "embedding", "if(vec_id = 50, NULL, grp) AS own")
             near = vector.nearest(vectors, asked, 4, group="grp", query_group="own", exclude_self=True)
