@@ -253,3 +253,35 @@ def test_bm25_on_given_words(spark, index):
     queries = spark.createDataFrame([(1, None, ["b", "b", "c"]), (2, "g", ["zz"])], "query_id INT, grp STRING, words ARRAY<STRING>")
     both = [sorted(map(tuple, x)) for i in (index, given) for x in (i.terms.collect(), bm25.top(i, queries, 3).collect())]
     assert both[:2] == both[2:]
+
+
+@pytest.mark.parametrize("how", ["rerank", "ask"])
+def test_only_texts_of_hits_are_exchanged(spark, monkeypatch, how):
+    """Where hits are too many to broadcast, the texts that none of them names stay where they are."""
+    rows = spark.range(12_000, numPartitions=2).selectExpr("id AS row_id", "'g' AS book_name", "concat_ws(' ', 'w', repeat('b ', int(id % 7)), string(id % 50)) AS content", "'x' AS chapter", "'y' AS section_h2", "500 AS char_count")
+    queries = spark.createDataFrame([(i, f"w {i * 7}", "g" if i % 2 else None) for i in range(20)], "query_id INT, query STRING, book_name STRING")
+
+    def run():
+        return sorted(map(str, (hybrid.ask(rows, queries, k=3) if how == "ask" else hybrid.search(rows, queries, k=3, reranker=plugins.overlap_reranker())).collect()))
+
+    want = run()
+    monkeypatch.setattr(hybrid, "small", lambda df, limit=config.BROADCAST_ROWS: limit > config.BROADCAST_ROWS)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        count, got = exchanged(spark, run)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == want and count < 12_000
+
+
+def test_block_of_bounded_memory(spark, index):
+    """Rows, terms and places of a block's tokens are held in 32 bits; parts score as the whole."""
+    import numpy as np
+    import pyarrow as pa
+
+    from lectern.operators import best
+
+    asked = bm25.Asked(index, spark.createDataFrame([(1, "g", ["a", "b"])], "query_id INT, grp STRING, words ARRAY<STRING>"))
+    row, term, score = bm25._postings(pa.table({"words": ["a b b c", "a a", "d"]}), asked, 1.5, 0.75, np.arange(3), np.full(3, asked.groups["g"]))
+    assert row.dtype == term.dtype == np.int32 and len(row) == 3 and score.sum() == pytest.approx(sum(brute(["a", "b"], "g").values()))
+    assert best.BYTES <= 16_000_000 and best.GATHERED <= 250_000
