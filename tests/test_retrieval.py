@@ -285,3 +285,51 @@ def test_block_of_bounded_memory(spark, index):
     row, term, score = bm25._postings(pa.table({"words": ["a b b c", "a a", "d"]}), asked, 1.5, 0.75, np.arange(3), np.full(3, asked.groups["g"]))
     assert row.dtype == term.dtype == np.int32 and len(row) == 3 and score.sum() == pytest.approx(sum(brute(["a", "b"], "g").values()))
     assert best.BYTES <= 16_000_000 and best.GATHERED <= 250_000
+
+
+def test_best_of_many_queries_at_once():
+    """The best rows of many queries, found together in each block, hold those that sorting all rows gives, ties too."""
+    import numpy as np
+
+    from lectern.operators import best
+
+    rng = np.random.default_rng(1)
+    queries, blocks = np.array([3, 5, 8, 9]), [rng.integers(0, 6, (4, n)).astype(float) for n in (20, 3, 11)]
+    blocks[0][1], blocks[1][2, 0] = -np.inf, -np.inf
+    found, sent = best.Best(4, 6), []
+    for i, raw in enumerate(blocks):
+        for part in (slice(0, 3), slice(3, 6)):
+            found.add("g", queries, part, raw[part], slice(10, 10 + raw.shape[1]))
+        query, row, score = found.gathered()
+        sent += zip(query.tolist(), (-score).tolist(), [i] * query.size, row.tolist())
+    for line, j in enumerate(queries.tolist()):
+        every = sorted((-s, i, 10 + at) for i, raw in enumerate(blocks) for at, s in enumerate(raw[line].tolist()) if s > -np.inf)
+        assert sorted(x[1:] for x in sent if x[0] == j)[:4] == every[:4]
+
+
+def test_few_steps_for_many_queries(spark, index, monkeypatch):
+    """The queries of a group are scored together, and alike if their terms are too many to lay out."""
+    import numpy as np
+    import pyarrow as pa
+
+    from lectern.operators import best
+
+    queries = spark.createDataFrame([(i, "g" if i % 2 else None, ["a", "b", "b", "zz"][: i % 5]) for i in range(40)], "query_id INT, grp STRING, words ARRAY<STRING>")
+    asked = bm25.Asked(index, queries)
+    pair, place, part = np.array([0, 0, 0, 1, 1]), np.array([0, 2, 3, 1, 2]), np.array([0.5, 0.25, 2.0, 1.0, 3.0])
+    both = []
+    for most in (best.PRODUCTS, 1):
+        monkeypatch.setattr(best, "PRODUCTS", most)
+        both.append(bm25._totals(asked, np.arange(40), pair, 0, place, part, 4))
+    assert both[0].any() and (both[0] == both[1]).all()
+    monkeypatch.undo()
+    kept, calls, add = {}, [], best.Best.add
+    monkeypatch.setattr(best.Best, "add", lambda self, *x: calls.append(1) or add(self, *x))
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    whole = DataFrame.mapInArrow
+    monkeypatch.setattr(DataFrame, "mapInArrow", lambda df, f, *x: kept.update(run=f, rows=df.toArrow()) or whole(df, f, *x))
+    bm25.candidates(index, queries, 2, True, 6)
+    sent = pa.Table.from_batches(list(kept["run"](iter(kept["rows"].combine_chunks().to_batches()))))
+    # 20 queries in one group, 20 in both groups
+    assert len(calls) == 3 and len(sent) == 20 * 2 + 20 * 3
