@@ -333,3 +333,10 @@ def test_few_steps_for_many_queries(spark, index, monkeypatch):
     sent = pa.Table.from_batches(list(kept["run"](iter(kept["rows"].combine_chunks().to_batches()))))
     # 20 queries in one group, 20 in both groups
     assert len(calls) == 3 and len(sent) == 20 * 2 + 20 * 3
+
+
+def test_blocks_and_scores_are_small():
+    """What a task holds at a time stays small, as two tasks and their workers share an executor with its heap."""
+    from lectern.operators import best
+
+    assert best.BYTES <= 8_000_000 and best.PRODUCTS <= 1_000_000
