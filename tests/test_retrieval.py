@@ -340,3 +340,17 @@ def test_blocks_and_scores_are_small():
     from lectern.operators import best
 
     assert best.BYTES <= 8_000_000 and best.PRODUCTS <= 1_000_000
+
+
+def test_encoder_gives_memory_back(monkeypatch):
+    """Workers that have encoded texts outlive their tasks, so what they don't need any more goes back."""
+    import pyarrow as pa
+
+    from lectern.operators import best
+
+    kept, calls = {}, []
+    monkeypatch.setattr(plugins.F, "arrow_udf", lambda f, kind: kept.update(run=f) or (lambda c: c))
+    monkeypatch.setattr(best, "release", lambda: calls.append(1))
+    plugins.code_point_embedding()(None)
+    got = [x.to_pylist() for x in kept["run"](iter([pa.array(["ab", None]), pa.array(["锁"])]))]
+    assert len(calls) == 1 and [[sum(v) for v in x] for x in got] == [[2, 0], [1]]
