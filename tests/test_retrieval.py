@@ -354,3 +354,26 @@ def test_encoder_gives_memory_back(monkeypatch):
     plugins.code_point_embedding()(None)
     got = [x.to_pylist() for x in kept["run"](iter([pa.array(["ab", None]), pa.array(["锁"])]))]
     assert len(calls) == 1 and [[sum(v) for v in x] for x in got] == [[2, 0], [1]]
+
+
+@pytest.fixture(scope="module")
+def repeated(spark, folder, tmp_path_factory):
+    """Ten texts of the books that are asked about, 800 times with shifted keys, in four files; all questions."""
+    from lectern.plans import registry
+
+    out = str(tmp_path_factory.mktemp("repeated"))
+    books = registry.asked(spark, folder).select("book_name").distinct()
+    rows = spark.read.parquet(f"{folder}/chunks.parquet").join(books, "book_name", "left_semi").filter(hybrid.informative()).orderBy("row_id").limit(10)
+    copies = spark.range(800, numPartitions=4).crossJoin(F.broadcast(rows)).withColumn("row_id", F.col("row_id") + F.col("id") * 1_000_000)
+    copies.select(*rows.columns).write.parquet(f"{out}/chunks.parquet")
+    spark.read.parquet(f"{folder}/eval_questions.parquet").write.parquet(f"{out}/eval_questions.parquet")
+    return out
+
+
+@pytest.mark.parametrize("name", ["answers_kept"])
+def test_queries_exchange_no_words_of_texts(spark, repeated, name):
+    """From its first job to its last, a query exchanges few rows for each text, though each text holds many words of the questions."""
+    from lectern.plans import registry
+
+    rows, out = exchanged(spark, lambda: registry.queries()[name](spark, repeated).collect())
+    assert out and rows < 2 * 8000
