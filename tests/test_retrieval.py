@@ -370,7 +370,7 @@ def repeated(spark, folder, tmp_path_factory):
     return out
 
 
-@pytest.mark.parametrize("name", ["answers_kept", "hybrid_instruction", "top_sources", "eval_dataset", "bm25_topk_per_book", "hybrid_hyde", "hybrid_prefilter"])
+@pytest.mark.parametrize("name", ["answers_kept", "hybrid_instruction", "top_sources", "eval_dataset", "bm25_topk_per_book", "hybrid_hyde", "hybrid_prefilter", "ask"])
 def test_queries_exchange_no_words_of_texts(spark, repeated, name):
     """From its first job to its last, a query exchanges few rows for each text, though each text holds many words of the questions."""
     from lectern.plans import registry
