@@ -377,3 +377,27 @@ def test_queries_exchange_no_words_of_texts(spark, repeated, name):
 
     rows, out = exchanged(spark, lambda: registry.queries()[name](spark, repeated).collect())
     assert out and rows < 2 * 8000
+
+
+def test_parts_of_many_queries(spark, monkeypatch):
+    """More queries than a task holds are searched in parts, with the same results."""
+    rows = spark.range(300, numPartitions=3).selectExpr("id AS vec_id", "array(float(id % 7), float(id % 11), float(1)) AS embedding", "concat('g', id % 3) AS grp")
+    queries = rows.selectExpr("vec_id AS query_id", "embedding", "if(vec_id % 10 = 0, NULL, grp) AS own")
+    seen = []
+    for most in (vector.QUERIES, 70):
+        monkeypatch.setattr(vector, "QUERIES", most)
+        seen.append(sorted(map(tuple, vector.nearest(rows, queries, 4, group="grp", query_group="own").collect())))
+    assert seen[0] == seen[1] and len(seen[0]) == 270 * 4 + 30 * 12
+
+
+def test_all_failed_answers_are_kept_aside(spark, folder, tmp_path):
+    """Questions about a book that isn't there have no answer, whatever their ids."""
+    from lectern.plans import registry
+
+    spark.read.parquet(f"{folder}/chunks.parquet").write.parquet(f"{tmp_path}/chunks.parquet")
+    asked = spark.read.parquet(f"{folder}/eval_questions.parquet").withColumn("book_name", F.when(F.col("question_id") % 4 < 2, "none").otherwise(F.col("book_name")))
+    asked.write.parquet(f"{tmp_path}/eval_questions.parquet")
+    books = spark.read.parquet(f"{folder}/chunks.parquet").select("book_name")
+    want = asked.filter("book_name IS NOT NULL AND question IS NOT NULL").join(books, "book_name", "left_anti")
+    got = sorted(r["query_id"] for r in registry.answers_aside(spark, str(tmp_path)).collect())
+    assert got == sorted({r["question_id"] for r in want.collect()}) and len(got) >= 20
