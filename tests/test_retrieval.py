@@ -401,3 +401,12 @@ def test_all_failed_answers_are_kept_aside(spark, folder, tmp_path):
     want = asked.filter("book_name IS NOT NULL AND question IS NOT NULL").join(books, "book_name", "left_anti")
     got = sorted(r["query_id"] for r in registry.answers_aside(spark, str(tmp_path)).collect())
     assert got == sorted({r["question_id"] for r in want.collect()}) and len(got) >= 20
+
+
+@pytest.mark.parametrize("name", ["ask"])
+def test_all_questions_are_asked(spark, folder, name):
+    """Every question has its rows, whatever its id."""
+    from lectern.plans import registry
+
+    got = {r["query_id"] for r in registry.queries()[name](spark, folder).collect()}
+    assert got == {r["question_id"] for r in spark.read.parquet(f"{folder}/eval_questions.parquet").filter("question IS NOT NULL").collect()}
