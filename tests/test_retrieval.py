@@ -403,7 +403,7 @@ def test_all_failed_answers_are_kept_aside(spark, folder, tmp_path):
     assert got == sorted({r["question_id"] for r in want.collect()}) and len(got) >= 20
 
 
-@pytest.mark.parametrize("name", ["ask", "eval_dataset", "hybrid_cross_book", "hybrid_dedupe", "hybrid_fusion", "hybrid_hyde", "hybrid_instruction", "hybrid_prefilter"])
+@pytest.mark.parametrize("name", ["ask", "eval_dataset", "hybrid_cross_book", "hybrid_dedupe", "hybrid_fusion", "hybrid_hyde", "hybrid_instruction", "hybrid_prefilter", "top_sources"])
 def test_all_questions_are_asked(spark, folder, name):
     """Every question has its rows, whatever its id."""
     from lectern.plans import registry
