@@ -410,3 +410,51 @@ def test_all_questions_are_asked(spark, folder, name):
 
     got = {r["query_id"] for r in registry.queries()[name](spark, folder).collect()}
     assert got == {r["question_id"] for r in spark.read.parquet(f"{folder}/eval_questions.parquet").filter("question IS NOT NULL").collect()}
+
+
+def test_rows_are_dealt_out_for_many_queries(spark, monkeypatch):
+    """Rows of a group meet in few tasks if many queries look for them: fewer rows are exchanged, with the same results."""
+    from lectern.operators import best
+
+    rows = spark.range(2000, numPartitions=8).selectExpr("id AS vec_id", "array(float(id % 101), float(id % 89), float(1)) AS embedding", "concat('g', id % 5) AS grp", "concat_ws(' ', repeat('a ', int(id % 29)), repeat('b ', int(id % 23)), 'c') AS text")
+    queries = rows.filter("vec_id < 400").selectExpr("vec_id AS query_id", "embedding", "if(vec_id % 10 = 0, NULL, grp) AS grp", "array('a', if(vec_id % 3 = 0, 'b', 'c')) AS words")
+    texts = bm25.build(rows, "grp", "vec_id", "text")
+    for run in (lambda: vector.nearest(rows, queries, 8, group="grp", query_group="grp"), lambda: bm25.top(texts, queries, 8)):
+        seen = []
+        for times in (best.DEALT, 1_000_000):
+            monkeypatch.setattr(best, "DEALT", times)
+            count, got = exchanged(spark, lambda: sorted(map(tuple, run().collect())))
+            seen.append((count, got))
+        monkeypatch.undo()
+        assert seen[0][1] == seen[1][1] and len(seen[0][1]) == 8 * (360 + 40 * 5)
+        assert 1.5 * seen[0][0] < seen[1][0], (seen[0][0], seen[1][0])
+
+
+def test_a_task_sends_the_best_once():
+    """What later blocks put out of the best doesn't leave the task, unless it keeps too much."""
+    import numpy as np
+    import pyarrow as pa
+
+    from lectern.operators import best
+
+    schema = pa.schema([("query_id", pa.int64()), ("key", pa.int64()), ("score", pa.float64())])
+    found, ids = best.Best(2, 6), pa.array([7, 9])
+    sent = []
+    for i in range(5):
+        table = pa.table({"key": np.arange(10) + 10 * i})
+        found.add("g", np.array([0, 1]), slice(0, 2), np.stack([np.arange(10.0) + i, np.arange(10.0) - i]), slice(0, 10))
+        sent += found.sent(table, ids, schema)
+    assert not sent
+    got = [tuple(r.values()) for b in found.rest(ids, schema) for r in b.to_pylist()]
+    assert sorted(got) == [(7, 39, 12.0), (7, 48, 12.0), (7, 49, 13.0), (9, 8, 8.0), (9, 9, 9.0), (9, 19, 8.0)]
+
+
+def test_alike_questions_are_searched_once(spark, chunks, monkeypatch):
+    """Each of them has the hits all the same."""
+    rows = [(1, "锁 是 什么", "os"), (2, "锁 是 什么", "os"), (3, "锁 是 什么", None), (4, "锁 是 什么", None), (5, "索引", "db")]
+    queries = spark.createDataFrame(rows, "query_id INT, query STRING, book_name STRING")
+    asked, nearest = [], vector.nearest
+    monkeypatch.setattr(vector, "nearest", lambda rows, queries, *x, **y: asked.append(queries.count()) or nearest(rows, queries, *x, **y))
+    got = hybrid.search(chunks, queries, k=2).collect()
+    hits = {i: sorted((r["book_name"], r["key"], r["method"], r["place"]) for r in got if r["query_id"] == i) for i in range(1, 6)}
+    assert asked == [3] and hits[1] == hits[2] and hits[3] == hits[4] and hits[1] and hits[3]
